@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollary.llm import encoding, fusion, leakage, packing, split
+from recollary.llm import encoding, fusion, language, leakage, packing, split
 from recollary.session import load
 
 
@@ -35,6 +35,37 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).where("piece_index = 0").select("item_kind", "item_id").distinct()
 
 
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_kind, item_id, labels (as they are, canonical where they name a language), languages, segments."""
+    memories = load(spark, sf_dir, "memories")
+    runs = load(spark, sf_dir, "query_runs").where("request.method in ('search_memory', 'search_in_project') and relevance is not null")
+    named = lambda x: F.coalesce(language.canonical(x), F.lower(F.trim(x)))
+    texts = memories.select(
+        F.lit("memory").alias("item_kind"),
+        F.col("memory_id").alias("item_id"),
+        "content",
+        F.array_compact(F.array(named(F.col("language")))).alias("labels"),
+    ).unionByName(
+        runs.select(
+            F.lit("query_run").alias("item_kind"),
+            F.col("run_id").cast("string").alias("item_id"),
+            F.col("request.params.query").alias("content"),
+            F.coalesce(F.array_sort(F.array_distinct(F.array_compact(F.transform(F.try_element_at("relevance", F.lit("language")), named)))), F.array().cast("array<string>")).alias("labels"),
+        )
+    )
+    return language.detect(texts, language.trained(memories), ["item_kind", "item_id"], others=["labels"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = p4_languages(spark, sf_dir).where(F.col("labels") != F.col("languages"))
+    return wrong.select("item_kind", "item_id", F.explode("languages").alias("language")).distinct()
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = p4_languages(spark, sf_dir).select("item_kind", "item_id", F.posexplode("segments").alias("segment", "s"))
+    return read.select("item_kind", "item_id", "segment", "s.*").distinct()
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -64,5 +95,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_fused, p3_found, p3_pieces, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired]
+    found = [p1_found, p1_fused, p3_found, p3_pieces, p4_found, p4_segments, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired]
     return {f.__name__: f for f in found}
