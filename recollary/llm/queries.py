@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollary.llm import encoding, fusion, language, leakage, packing, split
+from recollary.llm import encoding, fusion, graph, language, leakage, packing, split
 from recollary.session import load
 
 
@@ -20,6 +20,15 @@ def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.survivors(load(spark, sf_dir, "memories"), rule="posterior")
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.most_similar(load(spark, sf_dir, "chunks"), min_similarity=0.9)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p2_neighbours(spark, sf_dir)
+    return near.select(F.least("chunk_id", "neighbour").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour").alias("chunk_id_b")).distinct()
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memory contents and stored chunk contents as item_kind, item_id, content."""
     memories = load(spark, sf_dir, "memories").select(F.lit("memory").alias("item_kind"), F.col("memory_id").alias("item_id"), "content")
@@ -95,5 +104,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_fused, p3_found, p3_pieces, p4_found, p4_segments, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired]
+    found = [p1_found, p1_fused, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_segments, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired]
     return {f.__name__: f for f in found}
