@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollary.llm import encoding, fusion, graph, language, leakage, packing, split
+from recollary.llm import encoding, fusion, graph, language, leakage, packing, privacy, split
 from recollary.session import load
 
 
@@ -75,6 +75,23 @@ def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("item_kind", "item_id", "segment", "s.*").distinct()
 
 
+def private_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory contents and the outputs of add_command runs as item_kind, item_id, content."""
+    memories = load(spark, sf_dir, "memories").select(F.lit("memory").alias("item_kind"), F.col("memory_id").alias("item_id"), "content")
+    runs = load(spark, sf_dir, "query_runs").where("request.method = 'add_command'")
+    outputs = runs.select(F.lit("query_run").alias("item_kind"), F.col("run_id").cast("string").alias("item_id"), F.col("request.params.output").alias("content"))
+    return memories.unionByName(outputs)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = privacy.personal_information(private_texts(spark, sf_dir), ["item_kind", "item_id"])
+    return spans.select("item_kind", "item_id", F.col("type").alias("pii_type")).distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.redact(private_texts(spark, sf_dir), ["item_kind", "item_id"])
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -104,5 +121,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_fused, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_segments, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired]
+    found = [p1_found, p1_fused, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_redacted, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired]
     return {f.__name__: f for f in found}
