@@ -25,7 +25,8 @@ def recency(created_at: str | Column, memory_type: str | Column, as_of: Column,
     kind = F.coalesce(col(memory_type), F.lit("working"))
     factor = F.when(kind == "working", 1.0).when(kind == "short_term", 3.0).when(kind == "long_term", 6.0).otherwise(4.0)
     age = F.greatest(F.lit(0.0), seconds(as_of, created_at) / 3600)
-    return F.coalesce(clamp(F.exp(-age / F.greatest(F.lit(hours) * factor, F.lit(1.0)))), F.lit(0.5))
+    # (greatest and least skip nulls, so an unknown time must be told apart first)
+    return F.when(col(created_at).isNull(), 0.5).otherwise(clamp(F.exp(-age / F.greatest(F.lit(hours) * factor, F.lit(1.0)))))
 
 
 def refs_reliability(n_refs: str | Column) -> Column:

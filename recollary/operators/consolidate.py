@@ -57,7 +57,7 @@ def leader_clusters(items: DataFrame, order: str = "insert_seq", vector: str = "
 def score_of_representative(as_of: Column) -> Column:
     """0.5 x content length + 300 x recency by days + 200 x importance."""
     days = F.floor(seconds(as_of, "created_at") / 86400)
-    fresh = F.coalesce(1 / (1 + F.greatest(F.lit(0), days)), F.lit(0.5))
+    fresh = F.when(F.col("created_at").isNull(), 0.5).otherwise(1 / (1 + F.greatest(F.lit(0), days)))
     return 0.5 * F.length(F.coalesce("content", F.lit(""))) + 300 * fresh + 200 * F.coalesce("importance", F.lit(0.5))
 
 

@@ -16,7 +16,7 @@ WEIGHT = "CASE WHEN importance IS NULL OR isnan(importance) THEN 0.5 ELSE import
 OLD = f"coalesce({WEIGHT} < 0.3 AND {AGE} >= 30 * 86400, FALSE)"
 DUE = f"coalesce(memory_id IS NOT NULL AND memory_type = 'working' AND (epoch_us({NOW}) - epoch_us(coalesce(updated_at, created_at))) / 1e6 >= 8 * 3600, FALSE)"
 REPRESENTATIVE = f"""rep AS (SELECT {CLUSTER} AS cluster, memory_id, count(*) OVER (PARTITION BY {CLUSTER}) AS cluster_size,
-row_number() OVER (PARTITION BY {CLUSTER} ORDER BY round(0.5 * length(coalesce(content, '')) + 300 * coalesce(1.0 / (1 + greatest(0, floor({AGE} / 86400))), 0.5) + 200 * coalesce(importance, 0.5), 9) DESC, insert_seq) AS n
+row_number() OVER (PARTITION BY {CLUSTER} ORDER BY round(0.5 * length(coalesce(content, '')) + 300 * CASE WHEN created_at IS NULL THEN 0.5 ELSE 1.0 / (1 + greatest(0, floor({AGE} / 86400))) END + 200 * coalesce(importance, 0.5), 9) DESC, insert_seq) AS n
 FROM mem WHERE {CLUSTER} IS NOT NULL), best AS (SELECT cluster, memory_id, cluster_size FROM rep WHERE n = 1 AND cluster_size >= 2)"""
 
 

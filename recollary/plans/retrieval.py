@@ -68,7 +68,7 @@ cand AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.entry_i
   FROM vec_top v FULL JOIN bm_top b ON v.query_id = b.query_id AND v.entry_id = b.chunk_id),
 feat AS (SELECT c.*, e.* EXCLUDE (entry_id), w.query, w.top_k, w.wanted_project,
   coalesce(strength, 0.5) AS f1,
-  coalesce(greatest(0, least(1, exp(-greatest(0, epoch_us(TIMESTAMPTZ '{AS_OF}+00') - epoch_us(created_at)) / 3.6e9 / greatest(8.0 * CASE coalesce(memory_type, 'working') WHEN 'working' THEN 1 WHEN 'short_term' THEN 3 WHEN 'long_term' THEN 6 ELSE 4 END, 1)))), 0.5) AS f2,
+  CASE WHEN created_at IS NULL THEN 0.5 ELSE greatest(0, least(1, exp(-greatest(0, epoch_us(TIMESTAMPTZ '{AS_OF}+00') - epoch_us(created_at)) / 3.6e9 / greatest(8.0 * CASE coalesce(memory_type, 'working') WHEN 'working' THEN 1 WHEN 'short_term' THEN 3 WHEN 'long_term' THEN 6 ELSE 4 END, 1)))) END AS f2,
   CASE WHEN coalesce(n_refs, 0) > 0 THEN least(1, ln(1 + n_refs) / ln(11)) ELSE 0 END AS f3,
   CASE WHEN bm25 <= 0 THEN 0 ELSE 1 / (1 + exp(-0.1 * bm25)) END AS f4,
   CASE WHEN source = 'session' THEN -0.05 ELSE 0 END

@@ -110,7 +110,7 @@ def importance_scores(spark: SparkSession, d: str) -> DataFrame:
     return base.memories(spark, d).select("memory_id", F.round(scoring.importance(turns, F.col("created_at"), F.size("refs"), base.as_of()), 6).alias("importance"))
 
 
-@query(f"""WITH {MEM} SELECT memory_id, round(coalesce(greatest(0, least(1, exp(-greatest(0, {AGE} / 3600) / greatest(24.0 * CASE coalesce(memory_type, 'working') WHEN 'working' THEN 1 WHEN 'short_term' THEN 3 WHEN 'long_term' THEN 6 ELSE 4 END, 1)))), 0.5), 6) AS recency FROM mem""")
+@query(f"""WITH {MEM} SELECT memory_id, round(CASE WHEN created_at IS NULL THEN 0.5 ELSE greatest(0, least(1, exp(-greatest(0, {AGE} / 3600) / greatest(24.0 * CASE coalesce(memory_type, 'working') WHEN 'working' THEN 1 WHEN 'short_term' THEN 3 WHEN 'long_term' THEN 6 ELSE 4 END, 1)))) END, 6) AS recency FROM mem""")
 def recency_decay(spark: SparkSession, d: str) -> DataFrame:
     return base.memories(spark, d).select("memory_id", F.round(scoring.recency("created_at", "memory_type", base.as_of(), 24.0), 6).alias("recency"))
 
