@@ -193,8 +193,7 @@ LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 STRANGE = re.compile(f"(?<=[{LETTER}])[\u0370-\u045f\u2200-\u22ff\u2310-\u2321\u2500-\u259f\u00a1-\u00a6\u00a8\u00a9\u00ab-\u00b4\u00b6\u00b8\u00b9\u00bb-\u00bf\u00d7\u00f7\u2030\u201a\u201e\u207f\u20a7\u0192\u02c6\u02d8-\u02dd\ufb01\ufb02\u2020\u2021\u2026\u2022](?=[{LETTER}])|(?<![{LETTER}\u0370-\u045f])[\u0370-\u045f\u2200-\u22ff\u2310-\u2321\u2500-\u259f\u207f](?=[{LETTER}])|(?<=[{LETTER}])[\u0370-\u045f\u2310-\u2321\u2500-\u259f\u207f](?![{LETTER}\u0370-\u045f])")
 # a capital inside a small word, or a lone accented letter that no language writes alone
 CAPITAL = re.compile("(?<=[a-z])[\u00c0-\u00d6\u00d8-\u00de\u0152\u0160\u0178](?=[a-z])")
-ALONE = re.compile("(?<=\\s)[\u00c0-\u00df\u00e2-\u00e7\u00ea-\u00ef\u00f0-\u00f2\u00f4-\u00ff](?=\\s)")
-GREEK_WORD = re.compile("[\u0370-\u03ff]{5,}|(?<![\\w])[\u0370-\u03ff]{2,}(?![\\w])")
+ALONE = re.compile("(?<=\\s)[\u00c0-\u00d6\u00d8-\u00df\u00e2-\u00e7\u00ea-\u00f2\u00f4-\u00f6\u00f8-\u00ff](?=\\s)")
 
 
 def undo_western(text: str) -> tuple[str, int]:
@@ -214,7 +213,7 @@ def undo_western(text: str) -> tuple[str, int]:
                 fits += 1
         if fits > best[0]:
             spots = {c for m in misfits for c in m[0] if c in table}
-            spots |= {c for c in set(text) if c in table and not c.isalpha() and bytes([table[c]]).decode("cp1252", "ignore").islower()}
+            spots |= {c for c in set(text) if c in table and not re.match(f"[{LETTER}]", c) and bytes([table[c]]).decode("cp1252", "ignore").islower()}
             swap = {ord(c): bytes([table[c]]).decode("cp1252", "ignore") or c for c in spots}
             best = (fits, text.translate(swap), fits)
     if best[2] and best[2] >= 0.7 * len(misfits):

@@ -97,7 +97,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, n: int = GRAM,
                 x = np.array([numbers[w] for w in a])
                 y = np.array([numbers.get(w, -1) for w in b])
                 best, longest = align(x, y)
-                rows.append((doc, item, best / len(a), longest))
+                rows.append((doc, item, round(min(1.0, best / len(a)), 6), longest))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "longest_run"])
 
     together = (
