@@ -104,7 +104,7 @@ def summary_field(text: str | Column, field: str) -> Column:
 
 
 def summary_decisions(text: str | Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(r"(?m)^\s*-\s*text:\s*(.+)$"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(r"(?m)^\s*-\s*text:\s*(.+)$"), F.lit(1)), lambda x: F.trim(x))
 
 
 def wikilinks(text: str | Column) -> Column:

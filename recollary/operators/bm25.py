@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollary.functions.text import words
+from recollary.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -18,12 +19,18 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def statistics(docs: DataFrame, text: str) -> DataFrame:
     """One row: n_docs and the mean length. Texts without tokens count as documents of length 0."""
-    return docs.select(F.size(words(text)).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    length = F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0))
+    return docs.agg(F.count("*").alias("n_docs"), F.avg(length).alias("avgdl"))
 
 
-def term_weights(posted: DataFrame, stats: DataFrame) -> DataFrame:
+def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
+    """term, df over all documents, counted map-side first."""
+    return docs.select(F.explode(F.array_distinct(words(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def term_weights(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     """term, idf. Negative ones are replaced by EPSILON times the mean over the vocabulary."""
-    counted = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
+    counted = frequencies.crossJoin(F.broadcast(stats.select("n_docs")))
     raw = counted.select("term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -32,13 +39,15 @@ def term_weights(posted: DataFrame, stats: DataFrame) -> DataFrame:
 def search(docs: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", text: str = "content", query_id: str = "query_id", query: str = "query") -> DataFrame:
     """query_id, the key, score, rank: the k best documents of each query with a score other than 0.
 
-    A token repeated in the query counts again. Ties go to the smaller key. Only the postings of query terms
-    are joined; the statistics come from all documents."""
-    posted = postings(docs, key, text)
-    stats = statistics(docs, text)
+    A token repeated in the query counts again. Ties go to the smaller key. The statistics come from all
+    documents; tokens that no query holds are dropped before anything is grouped or shuffled."""
+    stats = cut(statistics(docs, text))
+    weights = term_weights(cut(document_frequencies(docs, text)), stats)
     asked = queries.select(query_id, F.explode(words(query)).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(term_weights(posted, stats), "term")
-    hits = posted.join(weighted, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    weighted = cut(asked.join(weights, "term"))
+    tokens = docs.select(F.col(key).alias("doc_id"), words(text).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    held = tokens.join(weighted.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    hits = held.join(weighted, "term").crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(query_id, "doc_id").agg(F.sum(part * F.col("times")).alias("score")).where("score <> 0")
     # the order of adding must not decide between equal scores

@@ -52,21 +52,25 @@ def distribution(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def positions(counts: DataFrame, value: str, by: list[str], shares: dict[str, float | None]) -> DataFrame:
-    """by and one column a share: the value at index int(n x share) of the sorted values of each group.
+    """by and one column a share: the value at index int(n x share) of the sorted values of each group (None:
+    n // 2, the upper median).
 
     counts: by, value, m (rows of that value). Values are cut into ranges first: only the range that holds
     the index is ordered, so no group is sorted in one task as a whole."""
-    width = F.greatest(F.lit(1e-12), (F.col("high") - F.col("low")) / 256)
-    ends = counts.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("m").alias("n"))
-    binned = counts.join(ends, by).withColumn("bin", F.floor((F.col(value) - F.col("low")) / width).cast("int"))
-    per_bin = binned.groupBy(*by, "bin").agg(F.sum("m").alias("in_bin"), F.first("n").alias("n"))
-    upto = per_bin.withColumn("before", F.coalesce(F.sum("in_bin").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    v = F.col(value)
+    width = F.greatest(F.lit(1e-12), (F.col("_high") - F.col("_low")) / 256)
+    ends = counts.groupBy(*by).agg(F.min(v).alias("_low"), F.max(v).alias("_high"), F.sum("m").alias("_n"))
+    binned = counts.join(ends, by).withColumn("_bin", F.floor((v - F.col("_low")) / width).cast("int"))
+    per_bin = binned.groupBy(*by, "_bin").agg(F.sum("m").alias("_in"), F.first("_n").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    upto = per_bin.withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
     out = None
     for name, share in shares.items():
-        index = F.floor(F.col("n") / 2) if share is None else F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1)
-        target = upto.withColumn("i", index).where((F.col("i") >= F.col("before")) & (F.col("i") < F.col("before") + F.col("in_bin"))).select(*by, "bin", "before", "i")
-        inside = binned.join(target, [*by, "bin"]).withColumn("c", F.col("before") + F.sum("m").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-        found = inside.where(F.col("c") > F.col("i")).groupBy(*by).agg(F.min(value).alias(name))
+        index = F.floor(F.col("_n") / 2) if share is None else F.least(F.floor(F.col("_n") * F.lit(share)), F.col("_n") - 1)
+        target = upto.withColumn("_i", index).where((F.col("_i") >= F.col("_before")) & (F.col("_i") < F.col("_before") + F.col("_in"))).select(*by, "_bin", "_before", "_i")
+        running = F.sum("m").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        inside = binned.join(target, [*by, "_bin"]).withColumn("_c", F.col("_before") + running)
+        found = inside.where(F.col("_c") > F.col("_i")).groupBy(*by).agg(F.min(v).alias(name))
         out = found if out is None else out.join(found, by)
     return out
 
@@ -99,6 +103,30 @@ def regressions(baseline: DataFrame, current: DataFrame, tolerance: float) -> Da
     return joined.select("metric", "baseline", "current", drop.alias("drop"), (drop > tolerance).alias("regressed"))
 
 
+def degradation(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
+    """by, first, last, change: mean value of the last tenth of the order against the first tenth."""
+    edges = positions(df.where(F.col(order).isNotNull()).groupBy(*by, order).agg(F.count("*").alias("m")), order, by, {"_from": 0.1, "_to": 0.9})
+    joined = df.join(edges, by)
+    means = joined.groupBy(*by).agg(F.avg(F.when(F.col(order) < F.col("_from"), F.col(value))).alias("first"), F.avg(F.when(F.col(order) >= F.col("_to"), F.col(value))).alias("last"))
+    return means.withColumn("change", F.try_divide(F.col("last") - F.col("first"), "first"))
+
+
+def routing_metrics(calls: DataFrame, by: list[str]) -> DataFrame:
+    """by, calls, total, longest, latest, mean latency of calls (at, latency)."""
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), F.sum("latency").alias("total"), F.max("latency").alias("longest"), F.max_by("latency", "at").alias("latest"), F.avg("latency").alias("mean"))
+
+
+def queue_stats(jobs: DataFrame, most: int = 3) -> DataFrame:
+    """pending, failed (tried most times), retries of a job table."""
+    return jobs.agg(F.count_if(F.col("retry_count") < most).alias("pending"), F.count_if(F.col("retry_count") >= most).alias("failed"), F.coalesce(F.sum("retry_count"), F.lit(0)).alias("retries"))
+
+
+def gate(metrics: DataFrame, floors: DataFrame) -> DataFrame:
+    """metric, value, floor, passed for each floor; a missing metric fails."""
+    joined = floors.join(metrics, "metric", "left")
+    return joined.select("metric", "value", "floor", F.coalesce(F.col("value") >= F.col("floor"), F.lit(False)).alias("passed"))
+
+
 def train_weights(rows: DataFrame, label: str = "is_relevant", epochs: int = 400, rate: float = 0.2, decay: float = 0.01) -> dict[str, float]:
     """Rerank weights by logistic regression, full-batch gradient descent; then clipped at 0 and scaled to sum 1.
 

@@ -149,3 +149,29 @@ def session_conversations(lines: DataFrame, sessions: DataFrame) -> DataFrame:
         F.concat(F.lit("Session "), "session_id").alias("user"), log.alias("assistant"), F.lit("session").alias("source"), F.col("ended_at").alias("created_at"),
         F.lit(None).cast("string").alias("project_id"), F.array(F.concat(F.lit("session://"), "session_id")).alias("refs"), F.lit(None).cast("string").alias("topic"), F.lit(None).cast("string").alias("doc_type"), "n_commands", "seconds",
     )
+
+
+def summarise_long(texts: DataFrame, key: str, text: str, summarise, size: int = 3500, overlap: int = 200) -> DataFrame:
+    """key, summary: texts within size in one go; longer ones by pieces, whose summaries are summarised.
+
+    summarise: a function of a Column. The piece summaries of one text are joined in order; they are bounded by
+    that text's length."""
+    rows = texts.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [(k, i, p) for k, body in zip(batch["key"], batch["body"]) for i, p in enumerate(long_pieces(body, size, overlap))]
+            yield pd.DataFrame(made, columns=["key", "i", "piece"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    short = rows.where(F.length("body") <= size).select("key", summarise(F.col("body")).alias("summary"))
+    pieces = rows.where(F.length("body") > size).mapInPandas(cut, f"key {kind}, i int, piece string").select("key", "i", summarise(F.col("piece")).alias("s"))
+    joined = pieces.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("l"))
+    long = joined.select("key", summarise(F.array_join(F.transform("l", lambda x: x["s"]), "\n\n---\n\n")).alias("summary"))
+    return short.unionByName(long).withColumnRenamed("key", key)
+
+
+def refreshed(memories: DataFrame, embed, dry_run: bool = False) -> DataFrame:
+    """Memories with enriched_summary and embedding made anew; dry_run only shows the summaries."""
+    enriched = memories.withColumn("enriched_summary", T.enriched_summary("summary", "content"))
+    return enriched.select("memory_id", "enriched_summary") if dry_run else enriched.withColumn("embedding", embed(F.col("enriched_summary")))

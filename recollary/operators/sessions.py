@@ -89,3 +89,20 @@ def late(events: DataFrame, seconds: int = 3600) -> DataFrame:
     """session_id, n_events, n_late, worst_delay (seconds) between happening and being received."""
     delay = (F.unix_micros("received_at") - F.unix_micros("ts")) / 1e6
     return events.groupBy("session_id").agg(F.count("*").alias("n_events"), F.count_if(delay > seconds).alias("n_late"), F.max(delay).alias("worst_delay"))
+
+
+def prefetch_queries(hinted: DataFrame, configured: list[str], done: DataFrame, least: float = 0.75, most: int = 5) -> DataFrame:
+    """session_id, query of what to run ahead for sessions with a sure project that were not served yet.
+
+    hinted: session_id, project_hint, confidence, project_id. done: session_id, project_id. The project's label
+    comes first, then the configured queries; blanks and repeats are left out."""
+    due = hinted.where((F.col("confidence") >= least) & F.col("project_id").isNotNull()).join(done, ["session_id", "project_id"], "left_anti")
+    asked = F.transform(F.array("project_hint", *map(F.lit, configured)), lambda x: F.trim(x))
+    kept = F.slice(F.array_distinct(F.filter(asked, lambda q: q != "")), 1, most)
+    return due.select("session_id", F.explode(kept).alias("query"))
+
+
+def active(events: DataFrame, as_of: Column, idle_seconds: int = 600) -> DataFrame:
+    """session_id, last_activity of the sessions that are not idle for longer."""
+    last = events.groupBy("session_id").agg(F.max("ts").alias("last_activity"))
+    return last.where((F.unix_micros(as_of) - F.unix_micros("last_activity")) / 1e6 <= idle_seconds)

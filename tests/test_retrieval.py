@@ -44,6 +44,14 @@ def test_nearest_ties_and_unusable(spark):
     assert got == [(1, "a", 1), (1, "b", 2)]
 
 
+def test_nearest_in_blocks(spark):
+    x = grouped_vectors(200, 8, 9)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    queries = base.where("id % 4 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    rows = lambda **o: sorted((r.query_id, r.rank, r.id) for r in vectors.nearest(base, queries, 3, "id", **o).collect())
+    assert rows() == rows(block=7) and len(rows()) == 150
+
+
 def grouped_vectors(n, size, seed):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(n // 4, size))
