@@ -17,7 +17,7 @@ rows AS (
 ), sized AS (
   SELECT *, count(*) OVER (PARTITION BY cluster_id) AS n FROM rows
 ), members AS (
-  SELECT *, coalesce(updated_at >= created_at AND updated_at <= ingested_at, FALSE) AS timely,
+  SELECT *, updated_at IS NOT NULL AND NOT coalesce(updated_at < created_at, FALSE) AND NOT coalesce(updated_at > ingested_at, FALSE) AS timely,
          coalesce(importance BETWEEN 0 AND 1, FALSE) AS weighed
   FROM sized WHERE n > 1
 ), placed AS (
