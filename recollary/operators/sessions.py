@@ -45,8 +45,14 @@ def distinct_messages(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
 
     A message that keeps coming is kept again once ttl has passed since the copy before it."""
     keyed = events.withColumn("message_key", message_key("session_id", "role", text_of()))
-    before = F.lag(F.unix_micros("ts")).over(Window.partitionBy("message_key").orderBy("ts", "event_id"))
-    return keyed.withColumn("_age", F.unix_micros("ts") - before).where(F.col("_age").isNull() | (F.col("_age") >= ttl_seconds * 1_000_000)).drop("_age")
+    limit = ttl_seconds * 1_000_000
+    # in buckets of one ttl, so that a message said very often is not one task: what came before is in the
+    # same bucket or in the one before
+    placed = keyed.withColumn("_t", F.unix_micros("ts")).withColumn("_b", F.floor(F.col("_t") / limit))
+    last = placed.where("_b is not null").groupBy("message_key", (F.col("_b") + 1).alias("_b")).agg(F.max("_t").alias("_last"))
+    inside = F.lag("_t").over(Window.partitionBy("message_key", "_b").orderBy("_t", "event_id"))
+    aged = placed.withColumn("_same", inside).join(last, ["message_key", "_b"], "left").withColumn("_age", F.col("_t") - F.coalesce("_same", "_last"))
+    return aged.where(F.col("_age").isNull() | (F.col("_age") >= limit)).select(*events.columns, "message_key")
 
 
 def hints(events: DataFrame) -> DataFrame:
