@@ -205,15 +205,16 @@ def most_similar(
     24 vectors a cell (at most 49,152). An empty table gives no rows.
     """
     spark = items.sparkSession
-    vectors = unit_vectors(items, key, vector, size)
-    kind = vectors.schema["id"].dataType.simpleString()
-    vectors = cut(vectors.groupBy("id").agg(F.min(F.struct("print", "unit")).alias("v")).select("id", "v.print", "v.unit"))
-    ranked = vectors.select("id", "print").withColumn("place", F.row_number().over(Window.partitionBy("print").orderBy("id")))
-    distinct = vectors.groupBy("print").agg(F.min_by("unit", "id").alias("unit"))
-    number = vectors.count()
+    rows = unit_vectors(items, key, vector, size)
+    kind = rows.schema["id"].dataType.simpleString()
+    # only ids and prints are grouped by id; the vectors are shuffled once, by print
+    ids = cut(rows.groupBy("id").agg(F.min("print").alias("print")))
+    ranked = ids.withColumn("place", F.row_number().over(Window.partitionBy("print").orderBy("id")))
+    distinct = cut(rows.groupBy("print").agg(F.first("unit").alias("unit")).join(ids.select("print").distinct(), "print", "left_semi"))
+    number = distinct.count()
     n_cells = int(np.clip(number // cell, 1, max_cells))
     wanted = n_cells * PER_CELL
-    picked = vectors.where(F.pmod(F.xxhash64("print"), F.lit(1_000_000)) < F.lit(int(1.2e6 * wanted / max(1, number)) + 1)).select("unit").limit(2 * wanted).toArrow()
+    picked = distinct.where(F.pmod(F.xxhash64("print"), F.lit(1_000_000)) < F.lit(int(1.2e6 * wanted / max(1, number)) + 1)).select("unit").limit(2 * wanted).toArrow()
     sample = flat(picked["unit"], size) if picked.num_rows else np.zeros((0, size), dtype=np.float32)
     if not len(sample):  # so few vectors that none was drawn: one cell holds them
         sample = np.zeros((1, size), dtype=np.float32)
