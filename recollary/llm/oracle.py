@@ -52,5 +52,11 @@ WITH items AS (
 SELECT DISTINCT item_kind, item_id FROM items
 WHERE length(content) > 3500
    OR floor(len(list_filter(regexp_split_to_array(content, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda w: w <> '')) / 0.75) > 512""",
+        "p7_found": r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM dw, unnest(range(1, len(w) - 11)) t(i)),
+ig AS (SELECT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM iw, unnest(range(1, len(w) - 11)) t(i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
         "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
     }
