@@ -29,7 +29,8 @@ SHARE = 0.3
 AT = r"(?:[ ]?@[ ]?|%40|[ ]?\[at\][ ]?|[ ]?\(at\)[ ]?|[ ]AT[ ])"
 DOT = r"(?:\.|[ ]?\(dot\)[ ]?|[ ]?\[dot\][ ]?|[ ]DOT[ ])"
 EMAIL = re.compile(rf"(?<![\w.+%-])([A-Za-z0-9][A-Za-z0-9._+-]*){AT}([A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{DOT}[A-Za-z0-9-]+)*{DOT}[A-Za-z]{{2,}})(?![A-Za-z0-9])")
-EMAIL_SIGNS = ("@", "%40", "[at]", "(at)", " AT ")
+EMAIL_SIGN = re.compile(r"@|%40|\[at\]|\(at\)| AT ")
+EMAIL_SPAN = 160  # longer ones are no addresses
 
 # What introduces a person's number, by language.
 ID_WORDS = (
@@ -75,7 +76,8 @@ def is_phone(found: str) -> bool:
 
 # Words for streets, by language.
 STREET_EN = r"(?:Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Court|Ct\.?|Street|St\.?|Drive|Dr\.?|Way|Place|Pl\.?|Square|Sq\.?|Terrace|Close|Crescent|Highway|Hwy\.?|Parkway|Pkwy\.?|Row|Walk|Gardens|Mews)"
-# each pattern with words of which one must stand in the text
+ZIP_DE = re.compile(r"\d[ ]?[a-z]?,?\s(?:D-)?\d{5}[ ][A-ZÄÖÜ]")
+# each pattern with words (or a quick pattern) of which one must stand in the text
 ADDRESSES = [
     (
         ("Road", "Rd", "Lane", "Ln", "Ave", "Blvd", "Boulevard", "Court", "Ct", "Street", " St", "Drive", " Dr", "Way", "Place", " Pl", "Square", "Sq", "Terrace", "Close", "Crescent", "Highway", "Hwy", "Parkway", "Pkwy", " Row", "Walk", "Gardens", "Mews"),
@@ -94,7 +96,7 @@ ADDRESSES = [
         r"(?<!\w)(?:Rua|R\.|Avenida|Av\.|Travessa|Praça|Largo|Alameda|Estrada)[ ](?:d[aoe]s?[ ])?[A-ZÀ-Þ][\w'’-]+(?:[ ][\w'’-]+){0,4}?,?[ ](?:n\.?[ºo°][ ])?\d{1,4}(?:,[ ][^\n|,\"]{1,20})?(?:,\s\d{4,5}-\d{3}[ ][A-ZÀ-Þ][\w-]+(?:[ ][A-ZÀ-Þ][\w-]+)*)?",
     ),
     (
-        ("straße", "strasse", "str.", "weg ", "platz ", "gasse ", "allee ", "ring ", "ufer ", "damm ", "steig ", "hof ", "Am ", "An ", "Auf ", "Im ", "In ", "Zum ", "Zur ", "Unter ", "Hinter "),
+        ("straße", "strasse", ZIP_DE),
         r"(?<!\w)(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|ufer|damm|steig|hof)|(?:Am|An|Auf|Im|In|Zum|Zur|Unter|Hinter)(?:[ ](?:der|dem|den))?[ ][A-ZÄÖÜ][\wäöüß-]+)[ ]\d{1,4}[ ]?[a-z]?,?\s(?:D-)?\d{5}[ ][A-ZÄÖÜ][\wäöüß-]+|(?<!\w)[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse)[ ]\d{1,4}",
     ),
     (
@@ -108,9 +110,10 @@ ADDRESSES = [
 ]
 ADDRESSES = [(signs, re.compile(pattern)) for signs, pattern in ADDRESSES]
 ID_SIGNS = (
-    "ssn", "social", "passp", "passeport", "pasaporte", "national i", "tax ", "id card", "steuer", "ausweis", "sozialvers", "sécurité s", "securite s", "fiscal", "nir", "identit",
-    "dni", "nie", "nif", "cif", "cpf", "rg", "nss", "contribuinte", "cidad", "マイナンバー", "番号", "身份", "护照", "社保", "社会保障",
+    "ssn", "social", "passp", "passeport", "pasaporte", "national i", "tax id", "tax num", "id card", "steuer", "ausweis", "sozialvers", "sécurité s", "securite s", "fiscal", "identit",
+    "dni", "nif", "cpf", "contribuinte", "cidad", "マイナンバー", "番号", "身份", "护照", "社保", "社会保障",
 )
+ID_SIGNS_CAPITAL = ("NIE", "CIF", "RG", "NIR", "NSS", "NISS")  # too short to be looked for in lower case
 
 # -- names ----------------------------------------------------------------------------------------
 
@@ -140,16 +143,17 @@ def scan(text: str) -> list[tuple[str, int, int, list[str], bool]]:
     """
     found: list[tuple[str, int, int, list[str], bool]] = []
     taken: list[tuple[int, int]] = []
-    if any(s in text for s in EMAIL_SIGNS):
-        for m in EMAIL.finditer(text):
-            if " AT " in m[0] and " DOT " not in m[0] or len(m[2]) > 80:
+    for sign in EMAIL_SIGN.finditer(text):
+        for m in EMAIL.finditer(text, max(0, sign.start() - EMAIL_SPAN), sign.end() + EMAIL_SPAN):
+            if not m.start() < sign.start() < m.end() or m.span() in taken or " AT " in m[0] and " DOT " not in m[0] or len(m[2]) > 80:
                 continue
             words = [w for w in re.split(r"[._\d-]+", m[1].partition("+")[0].lower()) if len(w) > 2]
             found.append(("email", m.start(), m.end(), words, True))
             taken.append(m.span())
     free = lambda a, b: all(b <= x or a >= y for x, y in taken)
     small = text.lower()
-    for m in ID_NAMED.finditer(text) if any(s in small for s in ID_SIGNS) else ():
+    named = any(s in small for s in ID_SIGNS) or any(s in text for s in ID_SIGNS_CAPITAL)
+    for m in ID_NAMED.finditer(text) if named else ():
         if sum(c.isdigit() for c in m[1]) >= 5:
             found.append(("id_number", m.start(), m.end(), [], False))
             taken.append(m.span())
@@ -162,7 +166,7 @@ def scan(text: str) -> list[tuple[str, int, int, list[str], bool]]:
             found.append(("phone", m.start(), m.end(), [], False))
             taken.append(m.span())
     for signs, pattern in ADDRESSES:
-        if any(s in text for s in signs):
+        if any(s in text if isinstance(s, str) else s.search(text) for s in signs):
             for m in pattern.finditer(text):
                 found.append(("address", m.start(), m.end(), [], False))
                 taken.append(m.span())
