@@ -40,7 +40,7 @@ def unprocessed(files: DataFrame, checkpoint: DataFrame) -> DataFrame:
     return files.join(checkpoint.select("path", "modified_at", "length").distinct(), ["path", "modified_at", "length"], "left_anti")
 
 
-def codex_events(lines: DataFrame) -> DataFrame:
+def payload_events(lines: DataFrame) -> DataFrame:
     """session_id, ts, role, text from lines (value, path) of {type: event_msg, payload: {type, message}}."""
     kind = F.get_json_object("value", "$.payload.type")
     role = F.when(kind == "user_message", "user").when(kind == "agent_message", "assistant")
@@ -50,7 +50,7 @@ def codex_events(lines: DataFrame) -> DataFrame:
     return rows.select(F.when(session != "", session).otherwise(stem).alias("session_id"), F.try_to_timestamp(F.get_json_object("value", "$.timestamp")).alias("ts"), role.alias("role"), F.get_json_object("value", "$.payload.message").alias("text")).where("role is not null and text is not null")
 
 
-def claude_events(lines: DataFrame) -> DataFrame:
+def message_events(lines: DataFrame) -> DataFrame:
     """session_id, ts, role, text from lines of {type: user, message: {content}} and {message: {role: assistant,
     content: text or parts}}; the text parts are joined by line ends."""
     content = F.get_json_object("value", "$.message.content")

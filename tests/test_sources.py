@@ -27,15 +27,15 @@ def test_log_files_and_checkpoint(spark, tmp_path):
 
 
 def test_event_logs(spark, tmp_path):
-    codex = [{"type": "event_msg", "timestamp": "2025-01-01T00:00:00Z", "payload": {"type": "user_message", "message": "hi"}}, {"type": "event_msg", "payload": {"type": "token_count"}}, {"type": "other"}]
-    claude = [{"type": "user", "timestamp": "2025-01-01T00:00:01Z", "message": {"content": "ask"}}, {"message": {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "tool"}, {"type": "text", "text": "b"}]}}, {"message": {"role": "assistant", "content": "plain"}}]
+    payloads = [{"type": "event_msg", "timestamp": "2025-01-01T00:00:00Z", "payload": {"type": "user_message", "message": "hi"}}, {"type": "event_msg", "payload": {"type": "token_count"}}, {"type": "other"}]
+    messages = [{"type": "user", "timestamp": "2025-01-01T00:00:01Z", "message": {"content": "ask"}}, {"message": {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "tool"}, {"type": "text", "text": "b"}]}}, {"message": {"role": "assistant", "content": "plain"}}]
     (tmp_path / "x").mkdir()
     (tmp_path / "y").mkdir()
-    (tmp_path / "x" / "rollout-123e4567-e89b-12d3-a456-426614174000.jsonl").write_text("\n".join(map(json.dumps, codex)) + "\nbroken {")
-    (tmp_path / "y" / "session1.jsonl").write_text("\n".join(map(json.dumps, claude)))
-    got = files.codex_events(files.log_lines(spark, str(tmp_path / "x"))).collect()
+    (tmp_path / "x" / "rollout-123e4567-e89b-12d3-a456-426614174000.jsonl").write_text("\n".join(map(json.dumps, payloads)) + "\nbroken {")
+    (tmp_path / "y" / "session1.jsonl").write_text("\n".join(map(json.dumps, messages)))
+    got = files.payload_events(files.log_lines(spark, str(tmp_path / "x"))).collect()
     assert [(r.session_id, r.role, r.text) for r in got] == [("123e4567-e89b-12d3-a456-426614174000", "user", "hi")]
-    got = files.claude_events(files.log_lines(spark, str(tmp_path / "y"))).collect()
+    got = files.message_events(files.log_lines(spark, str(tmp_path / "y"))).collect()
     assert [(r.session_id, r.role, r.text) for r in got] == [("session1", "user", "ask"), ("session1", "assistant", "a\nb"), ("session1", "assistant", "plain")]
 
 
