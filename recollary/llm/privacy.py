@@ -42,7 +42,35 @@ ID_WORDS = (
     r"|マイナンバー|個人番号|旅券番号|パスポート番号|免許証番号|基礎年金番号"
     r"|身份证(?:号码?|号)?|公民身份号码|护照(?:号码?|号)?|社保(?:卡)?号码?|社会保障号码?"
 )
-ID_NAMED = re.compile(rf"(?i:(?<![A-Za-z])(?:{ID_WORDS}))[\s\"']*(?:number|no\.?|nr\.?|n[°º]\.?|#|is|est|ist|es|é|为|是|は)?[\s\"']*[:=：＝]?[\s\"']*([A-Z]{{0,3}}[- ]?[0-9０-９](?:[-./ －]?[0-9０-９]){{1,17}}(?:-?[A-Z][0-9]{{0,6}})?)(?![A-Za-z0-9])")
+ID_LEAD = r"[\s\"']*(?i:number|no\.?|nr\.?|n\.?[°º]\.?|#|is|est|ist|es|é|为|是|は)?[\s\"']*[:=：＝]?[\s\"']*"
+ID_NAMED = re.compile(rf"(?i:(?<![A-Za-z])(?:{ID_WORDS})){ID_LEAD}([A-Z]{{0,3}}[- ]?[0-9０-９](?:[-./ －]?[0-9０-９]){{1,17}}(?:-?[A-Z][0-9]{{0,6}})?)(?![A-Za-z0-9])")
+
+
+def signs_of(words: str) -> tuple[tuple[str, ...], re.Pattern[str]]:
+    """Necessary conditions of ID_NAMED in folded text: the longest part of each alternative that must stand
+    as it is, and for those of up to three letters, which stand in other words too, a pattern of the word
+    and the start of its number."""
+    parts, depth, at = [], 0, 0
+    for i, c in enumerate(words + "|"):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append(words[at:i])
+            at = i + 1
+    fixed = [max(re.split(r"\(\?:[^()]*\)\??|\[[^]]*\]\??|\\?.\?", p), key=len) for p in parts]
+    short = [w for w in fixed if w.isascii() and len(w) <= 3]
+    # the first letter stands before the look behind, so that the search leaps to it
+    start = "|".join(f"{w[0]}(?<![a-z]{w[0]}){w[1:]}" for w in short)
+    return tuple(dict.fromkeys(w for w in fixed if w not in short)), re.compile(rf"(?:{start}){ID_LEAD}[a-z]{{0,3}}[- ]?[0-9０-９]")
+
+
+ID_SIGNS, ID_SIGNS_SHORT = signs_of(ID_WORDS)
+
+
+def folded(text: str) -> str:
+    """Small letters, by the rules of a pattern that ignores case."""
+    return text.lower() if text.isascii() else text.replace("İ", "i").replace("ı", "i").replace("ſ", "s").lower()
+
+
 ID_SHAPES = re.compile(r"(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{8}-?[A-HJ-NP-TV-Z]|[XYZ]\d{7}-?[A-Z]|\d{17}[\dX])(?![\w-]|\.\d)")
 
 DIGITS = re.compile(r"(?<![\w.,:=/%#$€£@-])[+＋(（]{0,2}[0-9０-９](?:[ ().\-/－（） ‑]{0,2}[0-9０-９]){6,16}(?![\w%@]|[.,:/-]\d)|(?<=[=:])[+＋]?[(（]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,16}(?![\w%@]|[.,:/-]\d)")
@@ -77,7 +105,7 @@ def is_phone(found: str) -> bool:
 # Words for streets, by language.
 STREET_EN = r"(?:Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Court|Ct\.?|Street|St\.?|Drive|Dr\.?|Way|Place|Pl\.?|Square|Sq\.?|Terrace|Close|Crescent|Highway|Hwy\.?|Parkway|Pkwy\.?|Row|Walk|Gardens|Mews)"
 ZIP_DE = re.compile(r"\d[ ]?[a-z]?,?\s(?:D-)?\d{5}[ ][A-ZÄÖÜ]")
-# each pattern with words (or a quick pattern) of which one must stand in the text
+# each pattern with words (or a quick pattern) of which one must stand in the text: what it can't match without
 ADDRESSES = [
     (
         ("Road", "Rd", "Lane", "Ln", "Ave", "Blvd", "Boulevard", "Court", "Ct", "Street", " St", "Drive", " Dr", "Way", "Place", " Pl", "Square", "Sq", "Terrace", "Close", "Crescent", "Highway", "Hwy", "Parkway", "Pkwy", " Row", "Walk", "Gardens", "Mews"),
@@ -100,7 +128,7 @@ ADDRESSES = [
         r"(?<!\w)(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|ufer|damm|steig|hof)|(?:Am|An|Auf|Im|In|Zum|Zur|Unter|Hinter)(?:[ ](?:der|dem|den))?[ ][A-ZÄÖÜ][\wäöüß-]+)[ ]\d{1,4}[ ]?[a-z]?,?\s(?:D-)?\d{5}[ ][A-ZÄÖÜ][\wäöüß-]+|(?<!\w)[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse)[ ]\d{1,4}",
     ),
     (
-        ("丁目", "番", "号"),
+        (re.compile(r"[都道府県][一-鿿ぁ-んァ-ヶ]{1,8}?[市区町村郡][一-鿿ぁ-んァ-ヶ]{0,10}[0-9０-９一二三四五六七八九十]"),),
         r"(?:〒?\d{3}-\d{4}\s?)?[一-鿿]{1,3}[都道府県][一-鿿ぁ-んァ-ヶ]{1,8}?[市区町村郡][一-鿿ぁ-んァ-ヶ]{0,10}[0-9０-９一二三四五六七八九十]+(?:丁目|番地?|号|[-－])(?:[0-9０-９一二三四五六七八九十]+(?:番地?|号|[-－])?)*",
     ),
     (
@@ -109,11 +137,6 @@ ADDRESSES = [
     ),
 ]
 ADDRESSES = [(signs, re.compile(pattern)) for signs, pattern in ADDRESSES]
-ID_SIGNS = (
-    "ssn", "social", "passp", "passeport", "pasaporte", "national i", "tax id", "tax num", "id card", "steuer", "ausweis", "sozialvers", "sécurité s", "securite s", "fiscal", "identit",
-    "dni", "nif", "cpf", "contribuinte", "cidad", "マイナンバー", "番号", "身份", "护照", "社保", "社会保障",
-)
-ID_SIGNS_CAPITAL = ("NIE", "CIF", "RG", "NIR", "NSS", "NISS")  # too short to be looked for in lower case
 
 # -- names ----------------------------------------------------------------------------------------
 
@@ -151,8 +174,8 @@ def scan(text: str) -> list[tuple[str, int, int, list[str], bool]]:
             found.append(("email", m.start(), m.end(), words, True))
             taken.append(m.span())
     free = lambda a, b: all(b <= x or a >= y for x, y in taken)
-    small = text.lower()
-    named = any(s in small for s in ID_SIGNS) or any(s in text for s in ID_SIGNS_CAPITAL)
+    small = folded(text)
+    named = any(s in small for s in ID_SIGNS) or ID_SIGNS_SHORT.search(small)
     for m in ID_NAMED.finditer(text) if named else ():
         if sum(c.isdigit() for c in m[1]) >= 5:
             found.append(("id_number", m.start(), m.end(), [], False))

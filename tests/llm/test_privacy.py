@@ -21,6 +21,31 @@ def test_identifiers(kind):
             assert kind in {t for t, *_ in privacy.scan(form)}, form
 
 
+# every alternative of ID_WORDS, and every form of ADDRESSES, with no other sign in the text
+ALONE = [
+    "ssn", "social security number", "social security no.", "passport number", "passport no", "passport", "national id", "national insurance number", "tax id", "tax number", "id card",
+    "Steuer-ID", "Steueridentifikationsnummer", "Steuernummer", "Ausweisnummer", "Ausweisnr.", "Personalausweis", "Reisepass", "Reisepassnummer", "Sozialversicherungsnummer",
+    "numéro de sécurité sociale", "numero de securite sociale", "numéro fiscal", "numero fiscal", "passeport", "passeport n°", "NIR", "carte d'identité", "carte d'identite",
+    "DNI", "NIE", "NIF", "CIF", "número de la seguridad social", "pasaporte", "pasaporte n.º",
+    "CPF", "RG", "NSS", "cartão de cidadão", "cartao de cidadao", "Passaporte", "Passaporte n.º", "número de contribuinte", "NISS",
+    "マイナンバー", "個人番号", "旅券番号", "パスポート番号", "免許証番号", "基礎年金番号",
+    "身份证", "身份证号码", "公民身份号码", "护照", "护照号", "社保号码", "社保卡号", "社会保障号",
+]
+
+
+def test_every_introducing_word_alone():
+    for word in ALONE:
+        for form in (word, word.lower(), word.upper()):
+            for number in (" 123456789", ": AB123456", " Nr. 12-34-567", " Nº 123456"):
+                assert "id_number" in {t for t, *_ in privacy.scan(form + number)}, form + number
+    assert not [w for w in ("merge 12345678", "large: 12345678", "arg=12345678") if "id_number" in {t for t, *_ in privacy.scan(w)}]
+
+
+@pytest.mark.parametrize("text", ["東京都新宿区西新宿2-8-1", "東京都新宿区西新宿２－８－１", "大阪府大阪市北区梅田三丁目", "北海道札幌市中央区大通5番", "12 Oak Ct", "7 Elm Dr", "3 Low Row", "Lindenweg 4, 09048 Nebelbach", "Avda. Sol 12", "R. Augusta 10", "3 quai Voltaire", "云岭省临溪市松影路8号"])
+def test_address_forms_alone(text):
+    assert "address" in {t for t, *_ in privacy.scan(text)}
+
+
 def test_decoys():
     for text in NOT:
         assert not {t for t, *_ in privacy.scan(f"see {text} now")} - {"name?"}, text
