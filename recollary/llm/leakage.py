@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text.
 
-Of each window of ``run`` consecutive item words the word n-gram rarest in the corpus is the seed;
-a document that holds the window holds its seed, however frequent that is, so no window is lost and
-frequent n-grams still only join where a window has nothing rarer. Documents that share a seed with an
-item are aligned with it word by word (Smith-Waterman), which also scores edited copies.
+Of each window of ``run`` consecutive item words the word n-gram rarest among those in the corpus is the
+seed; a document that holds the window holds its seed, however frequent that is, so no window is lost and
+frequent n-grams still only seed where a window has nothing rarer. Beside these, a document that holds a
+fifth of an item's n-grams is seeded, so that an edited copy does not depend on which n-grams other
+documents hold. Seeded pairs are aligned word by word (Smith-Waterman), which scores edited copies.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from recollary.session import cut
 
 RUN, GRAM = 13, 5
+# a document with this share of an item's different n-grams is aligned, whether or not it holds a seed
+SHARE = 0.2
 
 
 def words(text: str | Column) -> Column:
@@ -39,8 +42,10 @@ def seeds(item_grams: DataFrame, frequency: DataFrame, run: int = RUN, n: int =
     # a window starts at p and holds the grams p .. p + per_window - 1; a gram lies in as many windows
     window = F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - (per_window - 1)), F.greatest(F.lit(0), F.least(F.col("p"), F.col("n_grams") - per_window))))
     placed = known.select("item_id", "gram", "found", "p", window.alias("w"))
-    best = placed.groupBy("item_id", "w").agg(F.min(F.struct("found", "p", "gram")).alias("b"))
-    return best.where("b.found > 0").select("item_id", "b.gram").distinct()
+    # the whole window stands in no document without its rarest gram, so what holds it holds the seed;
+    # grams in no document don't count, else an edited copy would get no seed where its edits are
+    best = placed.where("found > 0").groupBy("item_id", "w").agg(F.min(F.struct("found", "p", "gram")).alias("b"))
+    return best.select("item_id", "b.gram").distinct()
 
 
 def align(a: np.ndarray, b: np.ndarray, match: float = 1.0, mismatch: float = -0.6, gap: float = -0.6) -> tuple[float, int]:
@@ -66,7 +71,8 @@ def align(a: np.ndarray, b: np.ndarray, match: float = 1.0, mismatch: float = -0
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, n: int = GRAM, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score (alignment score by item words, 0 to 1), longest_run of each seeded pair.
 
-    longest_run is exact: at least run if and only if the document holds run consecutive item words.
+    longest_run is exact: at least run if and only if the document holds run consecutive item words. An
+    edited copy has a row if it keeps SHARE of the item's different n-grams, whatever else the corpus holds.
     A text of fewer than n words has no seed. Null and empty texts match nothing; equal texts under other
     ids are reported each; an id given twice with one text counts once.
     """
@@ -87,7 +93,11 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, n: int = GRAM,
     shared = listed.select("doc_id", F.explode(F.array_distinct(grams(F.col("doc_words"), n))).alias("gram")).join(wanted, "gram", "left_semi")
     shared = cut(shared)
     frequency = shared.groupBy("gram").agg(F.count("*").alias("n_docs"))
-    pairs = shared.join(seeds(item_grams, frequency, run, n), "gram").select("doc_id", "item_id").distinct()
+    held_grams = item_grams.select("item_id", "gram").distinct()
+    sizes = held_grams.groupBy("item_id").agg(F.count("*").alias("different"))
+    marked = held_grams.join(seeds(item_grams, frequency, run, n).withColumn("seed", F.lit(1)), ["item_id", "gram"], "left")
+    together = shared.join(marked, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("both"), F.max("seed").alias("seed"))
+    pairs = together.join(sizes, "item_id").where((F.col("seed") == 1) | (F.col("both") >= F.col("different") * SHARE)).select("doc_id", "item_id")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -100,10 +110,10 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, n: int = GRAM,
                 rows.append((doc, item, round(min(1.0, best / len(a)), 6), longest))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "longest_run"])
 
-    together = (
+    paired = (
         pairs.join(docs, "doc_id")
         .join(item_words, "item_id")
         .select("doc_id", "item_id", "item_words", words("doc_text").alias("doc_words"))
     )
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {held.schema['item_id'].dataType.simpleString()}"
-    return together.mapInPandas(score, f"{kinds}, score double, longest_run int").distinct()
+    return paired.mapInPandas(score, f"{kinds}, score double, longest_run int").distinct()

@@ -55,6 +55,19 @@ def test_edited_copies_are_scored(spark):
     assert 0.85 < got[1].score < 1 and got[3].score == 1 and got[3].longest_run == 40
 
 
+def test_edited_copies_without_a_run(spark):
+    item = [f"word{i}" for i in range(40)]
+    edited = [f"new{i}" if i % 10 == 9 else w for i, w in enumerate(item)]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    one = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    docs = [(1, " ".join(["x"] * 30 + edited + ["y"] * 30)), (2, "word0 word1 word2 other words")]
+    # alone in the corpus, and beside an exact copy, which holds the rarer n-grams of every window
+    for more in ([], [(3, " ".join(item))]):
+        got = {r.doc_id: r for r in leakage.leaks(table(docs + more), one).collect()}
+        assert set(got) == {1} | {d for d, _ in more}
+        assert 0.75 < got[1].score < 1 and got[1].longest_run == 9
+
+
 def test_align():
     a, b = np.array([1, 2, 3, 4]), np.array([9, 1, 2, 8, 3, 4, 9])
     best, longest = leakage.align(a, b)
