@@ -21,11 +21,12 @@ def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.most_similar(load(spark, sf_dir, "chunks"), min_similarity=0.9)
+    """The 5 nearest of every chunk, however far: more and larger cells are searched than for near ones."""
+    return graph.most_similar(load(spark, sf_dir, "chunks"), probes=12, beam=48, cell=2048)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = p2_neighbours(spark, sf_dir)
+    near = graph.most_similar(load(spark, sf_dir, "chunks"), min_similarity=0.9)
     return near.select(F.least("chunk_id", "neighbour").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour").alias("chunk_id_b")).distinct()
 
 

@@ -37,6 +37,22 @@ def test_recall_without_bound(spark):
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
 
 
+def test_every_chunk_gets_its_neighbours(spark, tmp_path):
+    from recollary.llm import queries
+
+    x = np.random.default_rng(8).normal(size=(700, 64)).astype(np.float32)  # nothing is near anything
+    rows = [(f"c{i:03}", v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "chunk_id string, embedding array<float>").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = queries.p2_neighbours(spark, str(tmp_path)).toPandas()
+    assert (got.groupby("chunk_id").size() == 5).all() and got["chunk_id"].nunique() == 700
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -9)
+    want = {(f"c{i:03}", f"c{j:03}") for i, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in row}
+    assert len(want & set(zip(got["chunk_id"], got["neighbour"]))) >= 0.9 * len(want)
+    assert queries.p2_found(spark, str(tmp_path)).count() == 0
+
+
 def test_large_cells_are_split_and_searched_whole(spark):
     x = groups(1500, 64, 3)
     got = {(r.chunk_id, r.neighbour) for r in graph.most_similar(frame(spark, x), min_similarity=0.9, cell=10_000, max_shard=200).collect()}
