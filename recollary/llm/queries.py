@@ -110,7 +110,12 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_leaks(spark, sf_dir).where(F.col("longest_run") >= leakage.RUN).select("doc_id", "item_id").distinct()
+    return leakage.copies(p7_leaks(spark, sf_dir)).where("verbatim").select("doc_id", "item_id").distinct()
+
+
+def p7_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies by their alignment score, with or without a run of 13 words."""
+    return leakage.copies(p7_leaks(spark, sf_dir)).where("edited").select("doc_id", "item_id", "score", "longest_run")
 
 
 def p8_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,5 +127,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_fused, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_redacted, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired]
+    found = [p1_found, p1_fused, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_redacted, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p7_edited, p8_found, p8_repaired]
     return {f.__name__: f for f in found}

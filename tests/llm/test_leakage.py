@@ -70,5 +70,54 @@ def test_edited_copies_without_a_run(spark):
 
 def test_align():
     a, b = np.array([1, 2, 3, 4]), np.array([9, 1, 2, 8, 3, 4, 9])
-    best, longest = leakage.align(a, b)
-    assert abs(best - 3.4) < 1e-9 and longest == 2
+    best, longest = leakage.align([(a, b), (a, a), (b, np.array([7]))])
+    assert best.tolist() == [17, 20, 0] and longest.tolist() == [2, 4, 0]
+
+
+def smith_waterman(a, b):
+    h, r = np.zeros((len(a) + 1, len(b) + 1), dtype=int), np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            same = a[i - 1] == b[j - 1]
+            h[i, j] = max(0, h[i - 1, j - 1] + (5 if same else -3), h[i - 1, j] - 3, h[i, j - 1] - 3)
+            r[i, j] = r[i - 1, j - 1] + 1 if same else 0
+    return h.max(), r.max()
+
+
+def test_stretches_lose_nothing():
+    rng = np.random.default_rng(3)
+    pairs = []
+    for _ in range(150):
+        a = rng.integers(0, 12, rng.integers(1, 30))
+        b = rng.integers(-14, 12, rng.integers(0, 90)).clip(-1)
+        at = rng.integers(0, len(b) + 1)
+        part = a[rng.integers(0, len(a)) :][: rng.integers(0, 20)]
+        pairs.append((a, np.concatenate((b[:at], part, b[at:]))))
+    best, longest = leakage.align_within(pairs)
+    want = [smith_waterman(a, b) for a, b in pairs]
+    assert best.tolist() == [int(s) for s, _ in want] and longest.tolist() == [int(r) for _, r in want]
+
+
+def test_recall_of_edited_copies(spark):
+    """Every 6th to 12th word changed, left out or put in; no exact copy in the corpus, and much boilerplate."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(60)]
+    word = lambda: rng.choice(common) if rng.random() < 0.5 else f"w{rng.randrange(4000)}"
+    items = [(i, [word() for _ in range(rng.randint(20, 110))]) for i in range(40)]
+    docs, want = [], set()
+    for d in range(600):
+        body = [word() for _ in range(rng.randint(0, 300))]
+        if d % 2 == 0:
+            i, w = items[d // 2 % 40]
+            every, kind = rng.randint(6, 12), rng.choice("cdi")
+            made = []
+            for k, x in enumerate(w):
+                hit = k % every == every - 1
+                made += [f"new{d}_{k}"] if hit and kind == "c" else [] if hit and kind == "d" else [x, f"new{d}_{k}"] if hit else [x]
+            at = rng.randint(0, len(body))
+            body[at:at] = made
+            want.add((d, i))
+        docs.append((d, " ".join(body)))
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in leakage.copies(found).where("edited").collect()}
+    assert len(got & want) >= 0.99 * len(want) and len(got & want) >= 0.99 * len(got)
