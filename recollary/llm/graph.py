@@ -1,9 +1,10 @@
-"""Most similar vectors for every vector, by robust-pruned directed graphs on shards.
+"""Most similar vectors for every vector, by robust-pruned directed graphs on overlapping shards.
 
-Vectors go to the cells of a coarse quantiser fitted to a bounded sample. Each shard (a cell, or a part
-of a large one) gets a directed graph: points are inserted in doubling batches; a greedy search proposes
-each point's neighbours, relaxed distance pruning keeps the diverse ones, back edges are pruned the same
-way. Every vector then queries its own shard and those of its next nearest cells by beam search.
+A coarse quantiser is fitted to a bounded sample; every vector belongs to the shards of its few nearest
+cells, so two vectors meet wherever they share one of them. Each shard gets a directed graph: points are
+inserted in doubling batches; a greedy search proposes each point's neighbours, relaxed distance pruning
+keeps the diverse ones, back edges are pruned the same way. A beam search from every point's own place in
+the graph then finds its neighbours in the shard; the best over all shards remain.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from recollary.session import cut
 
 DEGREE, BEAM, EXPAND, ALPHA = 16, 24, 4, 1.2
-CELL, MAX_CELLS, MAX_SHARD, PER_CELL = 256, 2048, 4096, 24
+# vectors a cell on average; cells at most; vectors that one task holds; sampled vectors a cell; cells fitted at once
+CELL, MAX_CELLS, MAX_SHARD, PER_CELL, TOP_CELLS = 512, 65_536, 16_384, 24, 2048
+BLOCK = 1024
 
 
 def similarities(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -27,24 +30,26 @@ def similarities(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> n
     return np.matmul(vectors[ids], queries[:, :, None])[:, :, 0]
 
 
-def beam_search(vectors: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int = BEAM, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(vectors: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int = BEAM, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
     """Ids and similarities, best first, of the beam in which each query's greedy search ends.
 
-    edges holds -1 where a point has fewer neighbours. In every round the best few points of each beam
-    that have not been expanded are, all queries in step. Unused places of a beam have id -1.
+    starts holds the points at which each query begins (one row a query, or one for all). edges holds -1
+    where a point has fewer neighbours. In every round the best few points of each beam that have not been
+    expanded are, all queries in step. Unused places of a beam have id -1.
     """
     n, b = len(vectors), len(queries)
     rows = np.arange(b)[:, None]
+    starts = np.broadcast_to(starts, (b, starts.shape[-1]))
     seen = np.zeros((b, n + 1), dtype=bool)
     seen[:, n] = True  # where -1 points
-    first = queries @ vectors[entries].T
-    seen[:, entries] = True
-    width = min(beam, len(entries))
+    seen[rows, starts] = True
+    first = similarities(vectors, starts, queries)
+    width = min(beam, starts.shape[1])
     top = np.argpartition(-first, width - 1, axis=1)[:, :width]
     ids = np.full((b, beam), -1, dtype=np.int64)
     sims = np.full((b, beam), -2.0, dtype=np.float32)
     done = np.ones((b, beam), dtype=bool)
-    ids[:, :width], sims[:, :width], done[:, :width] = entries[top], np.take_along_axis(first, top, 1), False
+    ids[:, :width], sims[:, :width], done[:, :width] = np.take_along_axis(starts, top, 1), np.take_along_axis(first, top, 1), False
     live = np.arange(b)
     while len(live):
         open_sims = np.where(done[live], -3.0, sims[live])
@@ -103,8 +108,12 @@ def robust_prune(vectors: np.ndarray, points: np.ndarray, pool: np.ndarray, degr
     return kept
 
 
-def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Edges [n, degree] of the graph, and the entry points of its searches."""
+def blocks(n: int, size: int = BLOCK) -> Iterator[slice]:
+    return (slice(i, min(n, i + size)) for i in range(0, n, size))
+
+
+def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 5) -> np.ndarray:
+    """Edges [n, degree] of the graph."""
     n = len(vectors)
     rng = np.random.default_rng(seed)
     order = rng.permutation(n)
@@ -117,38 +126,46 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     at = len(start)
     while at < n:
         batch = order[at : min(n, 2 * at)]
-        pool, _ = beam_search(vectors, edges, entries, vectors[batch], beam)
-        edges[batch] = robust_prune(vectors, batch, pool, degree, alpha)
+        # searched before any of the batch is linked; in blocks, so that their pools stay small in memory
+        pools = [beam_search(vectors, edges, entries, vectors[batch[part]], beam)[0] for part in blocks(len(batch))]
+        for part, pool in zip(blocks(len(batch)), pools):
+            edges[batch[part]] = robust_prune(vectors, batch[part], pool, degree, alpha)
         # back edges: every kept neighbour gets the point as a candidate beside the neighbours it has
         source = np.repeat(batch, degree)
         target = edges[batch].ravel()
         source, target = source[target >= 0], target[target >= 0]
         by = np.argsort(target, kind="stable")
         source, target = source[by], target[by]
-        heads, starts, counts = np.unique(target, return_index=True, return_counts=True)
-        more = np.full((len(heads), int(counts.max())), -1, dtype=np.int64)
-        more[np.repeat(np.arange(len(heads)), counts), np.arange(len(target)) - np.repeat(starts, counts)] = source
-        small = counts <= 2 * degree
-        for part in (small, ~small):
-            if part.any():
-                wide = more[part][:, : int(counts[part].max())]
-                # in blocks, so that the pools of much-linked points stay small in memory
-                for i in range(0, len(wide), 2048):
-                    h = heads[part][i : i + 2048]
-                    edges[h] = robust_prune(vectors, h, np.concatenate((edges[h], wide[i : i + 2048]), axis=1), degree, alpha)
+        heads, firsts, counts = np.unique(target, return_index=True, return_counts=True)
+        # those of like numbers of new edges together; of a point much linked to the nearest are candidates
+        rank = np.argsort(counts, kind="stable")
+        for part in blocks(len(rank)):
+            some = rank[part]
+            wide = np.full((len(some), int(counts[some].max())), -1, dtype=np.int64)
+            for row, i in enumerate(some):
+                wide[row, : counts[i]] = source[firsts[i] : firsts[i] + counts[i]]
+            if wide.shape[1] > 2 * degree:
+                near = similarities(vectors, wide, vectors[heads[some]])
+                near[wide < 0] = -2.0
+                wide = np.take_along_axis(wide, np.argpartition(-near, 2 * degree - 1, axis=1)[:, : 2 * degree], 1)
+            edges[heads[some]] = robust_prune(vectors, heads[some], np.concatenate((edges[heads[some]], wide), axis=1), degree, alpha)
         at += len(batch)
-    return edges, entries
+    return edges
 
 
-def nearest(base: np.ndarray, queries: np.ndarray, k: int, beam: int = BEAM, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (-1 where there are fewer) and similarities of the k nearest base vectors of each query, by graph."""
-    edges, entries = build(base, beam=beam)
-    ids, sims = [], []
-    for i in range(0, len(queries), block):
-        a, s = beam_search(base, edges, entries, queries[i : i + block], max(beam, k))
-        ids.append(a[:, :k])
-        sims.append(s[:, :k])
-    return np.concatenate(ids), np.concatenate(sims)
+def neighbours(vectors: np.ndarray, k: int, degree: int = DEGREE, beam: int = BEAM, least: float = -2.0) -> tuple[np.ndarray, np.ndarray]:
+    """(of, found): places of every vector and of its k nearest others by graph, at least as similar as least."""
+    edges = build(vectors, degree, beam)
+    of, found = [], []
+    for part in blocks(len(vectors)):
+        own = np.arange(part.start, part.stop)
+        ids, sims = beam_search(vectors, edges, own[:, None], vectors[part], max(beam, k + 1))
+        good = (ids >= 0) & (ids != own[:, None]) & (sims >= least)
+        good &= np.cumsum(good, axis=1) <= k
+        row, column = np.nonzero(good)
+        of.append(own[row])
+        found.append(ids[row, column])
+    return np.concatenate(of), np.concatenate(found)
 
 
 def fit_cells(sample: np.ndarray, n_cells: int, rounds: int = 6, seed: int = 1) -> np.ndarray:
@@ -191,18 +208,49 @@ def unit_vectors(items: DataFrame, key: str, vector: str, size: int) -> DataFram
     return rows.mapInArrow(run, f"id {kind}, print binary, unit array<float>")
 
 
+def fit_quantiser(distinct: DataFrame, number: int, n_cells: int, size: int, top_cells: int = TOP_CELLS) -> np.ndarray:
+    """Centres of about n_cells cells, fitted to a sample of 24 vectors a cell.
+
+    Up to top_cells the driver fits them (at most 98,304 sampled vectors, 25 MB). More are fitted in two
+    levels: the driver fits the square root of the number, the sample is divided among these and each part
+    gets its cells in a task; only centres come back (16 MB for 65,536 cells).
+    """
+    first = n_cells if n_cells <= top_cells else int(np.ceil(np.sqrt(n_cells)))
+
+    def sampled(cells: int) -> DataFrame:
+        return distinct.where(F.pmod(F.xxhash64("print"), F.lit(1_000_000)) < F.lit(int(1.2e6 * cells * PER_CELL / max(1, number)) + 1)).select("unit")
+
+    picked = sampled(first).limit(2 * first * PER_CELL).toArrow()
+    sample = flat(picked["unit"], size) if picked.num_rows else np.zeros((1, size), dtype=np.float32)
+    centres = fit_cells(sample, min(first, len(sample)))
+    if n_cells <= top_cells:
+        return centres
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = (flat(batch["unit"], size) @ centres.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), batch["unit"]], ["top", "unit"])
+
+    def fit(part: pa.Table) -> pa.Table:
+        x = flat(part["unit"], size)
+        return pa.table({"unit": lists(fit_cells(x, max(1, len(x) // PER_CELL)))})
+
+    parts = sampled(n_cells).mapInArrow(assign, "top int, unit array<float>").groupBy("top").applyInArrow(fit, "unit array<float>")
+    return flat(parts.toArrow()["unit"], size)
+
+
 def most_similar(
     items: DataFrame, key: str = "chunk_id", vector: str = "embedding", size: int = 64, k: int = 5, min_similarity: float | None = None,
-    probes: int = 3, beam: int = BEAM, cell: int = CELL, max_cells: int = MAX_CELLS, max_shard: int = MAX_SHARD,
+    shards: int = 2, degree: int = DEGREE, beam: int = BEAM, cell: int = CELL, max_cells: int = MAX_CELLS, max_shard: int = MAX_SHARD, top_cells: int = TOP_CELLS,
 ) -> DataFrame:
     """key, neighbour, similarity, rank (from 1): the k most similar others of every usable vector.
 
     Usable: size finite numbers, not all zero, key not null. Rows of equal key are taken once (any one of
     them, where they differ). Ties go to the smaller key. min_similarity leaves out what is less similar.
     Equal vectors enter the index once and share its answers; of their copies no more than k + 1 are
-    ranked, which are all that can be among anyone's k. Cells of more than max_shard vectors are split at
-    random into shards, each searched by all the cell's queries. The quantiser is fitted to a sample of
-    24 vectors a cell (at most 49,152). An empty table gives no rows.
+    ranked, which are all that can be among anyone's k. Every vector joins the shards of its nearest cells.
+    A shard of more than max_shard vectors is divided at random into parts of half that, and every two parts
+    meet in a task, so no task holds more and none of its vectors misses another. An empty table gives no rows.
     """
     spark = items.sparkSession
     rows = unit_vectors(items, key, vector, size)
@@ -212,58 +260,42 @@ def most_similar(
     ranked = ids.withColumn("place", F.row_number().over(Window.partitionBy("print").orderBy("id")))
     distinct = cut(rows.groupBy("print").agg(F.first("unit").alias("unit")).join(ids.select("print").distinct(), "print", "left_semi"))
     number = distinct.count()
-    n_cells = int(np.clip(number // cell, 1, max_cells))
-    wanted = n_cells * PER_CELL
-    picked = distinct.where(F.pmod(F.xxhash64("print"), F.lit(1_000_000)) < F.lit(int(1.2e6 * wanted / max(1, number)) + 1)).select("unit").limit(2 * wanted).toArrow()
-    sample = flat(picked["unit"], size) if picked.num_rows else np.zeros((0, size), dtype=np.float32)
-    if not len(sample):  # so few vectors that none was drawn: one cell holds them
-        sample = np.zeros((1, size), dtype=np.float32)
-    centres = fit_cells(sample, min(n_cells, len(sample)))
-    probes = min(probes, len(centres))
+    centres = fit_quantiser(distinct, number, int(np.clip(number // cell, 1, max_cells)), size, top_cells)
+    shards = min(shards, len(centres))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = flat(batch["unit"], size)
-            s = x @ centres.T
-            near = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-            for p in range(probes):
-                yield pa.RecordBatch.from_arrays([pa.array(near[:, p].astype(np.int32)), pa.array(np.full(len(x), p == 0)), batch["print"], batch["unit"]], ["cell", "home", "print", "unit"])
-
-    routed = distinct.mapInArrow(route, "cell int, home boolean, print binary, unit array<float>")
-    if number > max_shard:  # else no cell can be too large
-        held = distinct.mapInArrow(route, "cell int, home boolean, print binary, unit array<float>").where("home").groupBy("cell").agg(F.count("*").alias("held"))
-        parts = {r["cell"]: -(-r["held"] // max_shard) for r in held.where(F.col("held") > max_shard).collect()}  # at most max_cells rows
-    else:
-        parts = {}
-    if parts:
-        table = spark.createDataFrame(list(parts.items()), "cell int, parts long")
-        routed = routed.join(F.broadcast(table), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.array(F.pmod(F.xxhash64("print"), "parts"))
-        # a query visits every part of its cells, a home vector is stored in one of them
-        routed = routed.select("cell", "home", "print", "unit", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), own[0].alias("own"))
-        routed = routed.withColumn("home", F.col("home") & (F.col("part") == F.col("own"))).select("cell", "part", "home", "print", "unit")
+            near = np.concatenate([np.argpartition(-(x[part] @ centres.T), shards - 1, axis=1)[:, :shards] for part in blocks(len(x))]) if len(x) else np.zeros((0, shards))
+            for p in range(shards):
+                yield pa.RecordBatch.from_arrays([pa.array(near[:, p].astype(np.int32)), batch["print"], batch["unit"]], ["cell", "print", "unit"])
+
+    routed = distinct.mapInArrow(route, "cell int, print binary, unit array<float>")
+    large = {}
+    if number > max_shard:  # else no shard can be too large
+        held = routed.groupBy("cell").agg(F.count("*").alias("held")).where(F.col("held") > max_shard)
+        large = {r["cell"]: -(-2 * r["held"] // max_shard) for r in held.collect()}  # at most max_cells numbers
+    if large:
+        table = spark.createDataFrame(list(large.items()), "cell int, parts long")
+        routed = routed.join(F.broadcast(table), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+        own = F.pmod(F.xxhash64("print"), F.col("parts"))
+        # part p meets every other part: the pair (p, q) is one task
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: q != own)
+        meetings = F.when(F.col("parts") > 1, F.transform(others, lambda q: F.least(q, own) * F.col("parts") + F.greatest(q, own))).otherwise(F.array(F.lit(0).cast("long")))
+        routed = routed.select("cell", F.explode(meetings).alias("part"), "print", "unit")
     else:
-        routed = routed.withColumn("part", F.lit(0).cast("long")).select("cell", "part", "home", "print", "unit")
+        routed = routed.withColumn("part", F.lit(0).cast("long"))
     least = -2.0 if min_similarity is None else min_similarity - 1e-4
-    empty = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "similarity": pa.array([], pa.float64())})
 
     def search(shard: pa.Table) -> pa.Table:
-        home = shard["home"].to_numpy()
         names = shard["print"].combine_chunks()
         x = np.ascontiguousarray(flat(shard["unit"], size))
-        base = np.flatnonzero(home)
-        if not len(base):
-            return empty
-        ids, sims = nearest(x[base], x, k + 1, beam)
-        q, j = np.nonzero((ids >= 0) & (sims >= least))
-        found = base[ids[q, j]]
-        other = found != q
-        q, found = q[other], found[other]
-        exact = (x[q].astype(np.float64) * x[found]).sum(axis=1)
-        return pa.table({"a": names.take(pa.array(q)), "b": names.take(pa.array(found)), "similarity": exact})
+        of, found = neighbours(x, k, degree, beam, least)
+        exact = (x[of].astype(np.float64) * x[found]).sum(axis=1)
+        return pa.table({"a": names.take(pa.array(of)), "b": names.take(pa.array(found)), "similarity": exact})
 
     pairs = routed.groupBy("cell", "part").applyInArrow(search, "a binary, b binary, similarity double")
+    # what one of two finds is known to the other
     both = pairs.select(F.explode(F.array(F.struct("a", "b", "similarity"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))).alias("p")).select("p.*")
     both = both.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     few = ranked.where(F.col("place") <= k + 1)

@@ -21,8 +21,8 @@ def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest of every chunk, however far: more and larger cells are searched than for near ones."""
-    return graph.most_similar(load(spark, sf_dir, "chunks"), probes=12, beam=48, cell=2048)
+    """The 5 nearest of every chunk, however far: larger shards, more edges and wider beams than for near ones."""
+    return graph.most_similar(load(spark, sf_dir, "chunks"), shards=4, degree=32, beam=64, cell=2048)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

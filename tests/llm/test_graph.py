@@ -33,7 +33,7 @@ def test_recall_against_brute_force(spark):
 def test_recall_without_bound(spark):
     x = groups(600, 16, 2, 0.3)
     want = brute(x, 5, -2)
-    got = {(r.chunk_id, r.neighbour) for r in graph.most_similar(frame(spark, x), size=16, probes=8, beam=48, cell=128).collect()}
+    got = {(r.chunk_id, r.neighbour) for r in graph.most_similar(frame(spark, x), size=16, shards=4, degree=24, beam=48, cell=128).collect()}
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
 
 
@@ -60,6 +60,23 @@ def test_large_cells_are_split_and_searched_whole(spark):
     assert len(got & want) >= 0.98 * len(want)
 
 
+def test_a_dense_clump_holds_a_third(spark):
+    """A third of all vectors lie together: no task gets more than max_shard, and nothing is lost."""
+    rng = np.random.default_rng(4)
+    clump = rng.normal(size=64) + rng.normal(scale=0.02, size=(500, 64))
+    x = np.concatenate((clump, groups(1000, 64, 5))).astype(np.float32)
+    got = {(r.chunk_id, r.neighbour) for r in graph.most_similar(frame(spark, x), min_similarity=0.9, cell=100, max_shard=150, degree=24, beam=48).collect()}
+    want = brute(x, 5, 0.9)
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_two_levels_of_cells(spark):
+    x = groups(2000, 64, 6)
+    want = brute(x, 5, 0.9)
+    got = {(r.chunk_id, r.neighbour) for r in graph.most_similar(frame(spark, x), min_similarity=0.9, cell=100, top_cells=4).collect()}
+    assert len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.98 * len(got)
+
+
 def test_copies_ties_and_unusable(spark):
     one, two = [1.0] * 64, [1.0] * 32 + [-1.0] * 32
     rows = [(f"c{i}", one) for i in range(9)] + [("c0", one), ("d", two), ("e", [2.0] * 64), ("zero", [0.0] * 64), ("nan", [float("nan")] * 64), ("short", [1.0]), ("none", None), ("hole", [None] + [1.0] * 63), (None, one)]
