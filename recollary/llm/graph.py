@@ -241,7 +241,7 @@ def fit_quantiser(distinct: DataFrame, number: int, n_cells: int, size: int, top
 
 def most_similar(
     items: DataFrame, key: str = "chunk_id", vector: str = "embedding", size: int = 64, k: int = 5, min_similarity: float | None = None,
-    shards: int = 2, degree: int = DEGREE, beam: int = BEAM, cell: int = CELL, max_cells: int = MAX_CELLS, max_shard: int = MAX_SHARD, top_cells: int = TOP_CELLS,
+    shards: int = 3, degree: int = DEGREE, beam: int = BEAM, cell: int = CELL, max_cells: int = MAX_CELLS, max_shard: int = MAX_SHARD, top_cells: int = TOP_CELLS,
 ) -> DataFrame:
     """key, neighbour, similarity, rank (from 1): the k most similar others of every usable vector.
 

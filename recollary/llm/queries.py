@@ -12,12 +12,18 @@ from recollary.session import load
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = fusion.survivors(load(spark, sf_dir, "memories"), rule="ordered")
+    chosen = fusion.survivors(load(spark, sf_dir, "memories"), prior=None)
     return chosen.select("cluster_id", "field_name", "memory_id").distinct()
 
 
 def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.survivors(load(spark, sf_dir, "memories"), rule="posterior")
+    """Survivors by the votes of the sources alone."""
+    return fusion.survivors(load(spark, sf_dir, "memories")).withColumn("probability", F.round("probability", 6))
+
+
+def p1_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = fusion.source_report(load(spark, sf_dir, "memories"))
+    return known.select("source", F.round("accuracy", 6).alias("accuracy"), "origin", F.round("dependent", 6).alias("dependent"))
 
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,5 +133,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_fused, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_redacted, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p7_edited, p8_found, p8_repaired]
+    found = [p1_found, p1_fused, p1_sources, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_redacted, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p7_edited, p8_found, p8_repaired]
     return {f.__name__: f for f in found}
