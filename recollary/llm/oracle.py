@@ -123,5 +123,6 @@ iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FRO
 dg AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM dw, unnest(range(1, len(w) - 11)) t(i)),
 ig AS (SELECT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM iw, unnest(range(1, len(w) - 11)) t(i))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+        "p6_kept": "SELECT doc_id, length(coalesce(text, '')) AS length, strlen(coalesce(text, '')) AS tokens, TRUE AS whole FROM documents",
         "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
     }

@@ -54,7 +54,8 @@ def tokenizer_cuts(encode: Callable[[str], list[int]]) -> Callable[[str, int], l
 def best_fit(tokens: np.ndarray, capacity: int, max_docs: int, max_cost: float, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), rule: str = "norm") -> np.ndarray:
     """Container of each item. Longest items first; among the open containers with room for the item in
     all three capacities, the one of smallest weighted residual norm after placing it (rule "norm") or
-    of greatest weighted dot product of item and residual (rule "dot") takes it; ties: the oldest."""
+    of greatest weighted dot product of item and residual (rule "dot") takes it; ties: the oldest. An item
+    that alone exceeds max_cost fills that capacity, so that no other of any cost joins it."""
     n = len(tokens)
     order = np.lexsort((np.arange(n), -tokens))
     left = np.zeros((n, 3))
@@ -65,7 +66,7 @@ def best_fit(tokens: np.ndarray, capacity: int, max_docs: int, max_cost: float,
     place = np.empty(n, dtype=np.int64)
     smallest = tokens.min() if n else 0
     for item in order:
-        need = np.array([tokens[item], 1.0, float(tokens[item]) ** 2])
+        need = np.array([tokens[item], 1.0, min(float(tokens[item]) ** 2, max_cost)])
         rest = left[:n_open] - need
         fits = np.flatnonzero((rest >= 0).all(axis=1))
         if len(fits):
@@ -101,7 +102,9 @@ def pack(
 
     Sizes are UTF-8 bytes unless cuts (see tokenizer_cuts) counts otherwise. Items beyond the capacity are
     cut into pieces, no other is. Empty texts take no room; null texts count as empty. Equal keys are
-    separate items. shard bounds the items of one task; containers of different shards never mix.
+    separate items. max_docs bounds the items of a container, max_cost the sum of their squared sizes; at the
+    defaults neither binds before the tokens do. About shard items or pieces go to one task, spread by hash;
+    containers of different shards never mix.
     """
     kind = items.schema[key].dataType.simpleString()
     sized = items.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
@@ -124,9 +127,11 @@ def pack(
     pieces = large.mapInPandas(cut, f"key {kind}, n_pieces int, piece int, start int, length int, tokens long")
     if small is not None:
         pieces = small.unionByName(pieces)
-    # the number of shards follows the number of items: one count, and no text leaves its task
-    shards = max(1, -(-items.count() // shard))
-    spread = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)))
+    # the number of shards follows the number of pieces, which no text has more of than its bytes make (a
+    # piece ends at most three bytes short of full); one sum, and no text leaves its task
+    most = F.sum(F.greatest(F.lit(1), F.ceil(F.octet_length("body") / max(1, capacity - 3))))
+    shards = max(1, -(-(sized.agg(most).first()[0] or 0) // shard))
+    spread = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "piece", "start", "tokens"), F.lit(shards)))
     limit = float(capacity) ** 2 if max_cost is None else float(max_cost)
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,7 +144,21 @@ def pack(
     return spread.groupBy("shard").applyInPandas(place, schema).withColumnRenamed("key", key)
 
 
-def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """containers, items, tokens and fill (share of the capacity in use) over all containers."""
-    bins = packed.groupBy("container").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
-    return bins.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count("*") * capacity)).alias("fill"))
+def packing_report(packed: DataFrame, capacity: int = CAPACITY, max_docs: int = 4096, max_cost: float | None = None) -> DataFrame:
+    """One row over all containers: containers, items, tokens, fill (share of the token capacity in use), and how
+    many containers come near each limit (over 99 % of the tokens, all max_docs, over 99 % of max_cost) or
+    break one (more than any limit, but for an item alone). An empty table has no containers and a null fill."""
+    limit = float(capacity) ** 2 if max_cost is None else float(max_cost)
+    size = F.col("tokens").cast("double")
+    bins = packed.groupBy("container").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.sum(size * size).alias("cost"))
+    over = (F.col("tokens") > capacity) | (F.col("items") > max_docs) | ((F.col("cost") > limit) & (F.col("items") > 1))
+    return bins.agg(
+        F.count("*").alias("containers"),
+        F.coalesce(F.sum("items"), F.lit(0)).alias("items"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+        (F.sum("tokens") / (F.count("*") * capacity)).alias("fill"),
+        F.count_if(F.col("tokens") > 0.99 * capacity).alias("full_of_tokens"),
+        F.count_if(F.col("items") >= max_docs).alias("full_of_items"),
+        F.count_if(F.col("cost") > 0.99 * limit).alias("full_of_cost"),
+        F.count_if(over).alias("broken"),
+    )

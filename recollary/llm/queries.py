@@ -107,8 +107,29 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_packed(spark, sf_dir).where("n_pieces > 1 and piece = 0").select("doc_id").distinct()
 
 
+# limits that bind on the documents: texts a container, and a third of the attention cost of one text that fills it
+LIMITS = {"max_docs": 12, "max_cost": packing.CAPACITY**2 / 3}
+
+
+def p6_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers under all three limits at once."""
+    return packing.pack(load(spark, sf_dir, "documents"), **LIMITS)
+
+
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packing_report(p6_packed(spark, sf_dir))
+    """The containers of both packings: how full, by which limit, and whether any is broken."""
+    plain = packing.packing_report(p6_packed(spark, sf_dir)).withColumn("packing", F.lit("tokens"))
+    return plain.unionByName(packing.packing_report(p6_limited(spark, sf_dir), **LIMITS).withColumn("packing", F.lit("limited")))
+
+
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing must keep: each text's pieces in order make the whole text. doc_id, length, tokens, whole."""
+    ends = F.transform("parts", lambda p: p["start"] + p["length"])
+    starts = F.transform("parts", lambda p: p["start"])
+    meet = F.slice(starts, 2, 1 << 30) == F.slice(ends, 1, F.greatest(F.lit(0), F.size("parts") - 1))
+    # as many parts as the text has pieces, a few bytes each
+    parts = p6_packed(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("parts"), F.sum("length").alias("length"), F.sum("tokens").alias("tokens"))
+    return parts.select("doc_id", "length", "tokens", (meet & (starts[0] == 0)).alias("whole"))
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,5 +154,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_fused, p1_sources, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_redacted, p6_found, p6_packed, p6_fill, p7_found, p7_leaks, p7_edited, p8_found, p8_repaired]
+    found = [p1_found, p1_fused, p1_sources, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_segments, p5_found, p5_redacted, p6_found, p6_packed, p6_limited, p6_fill, p6_kept, p7_found, p7_leaks, p7_edited, p8_found, p8_repaired]
     return {f.__name__: f for f in found}

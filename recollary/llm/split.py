@@ -202,7 +202,7 @@ def split_oversized(
     large = (
         items.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(text).alias("body"))
         .where(oversized("body", max_tokens, max_chars))
-        .dropDuplicates(names)
+        .dropDuplicates([*names, "body"])
     )
     kinds = ", ".join(f"{n} {large.schema[n].dataType.simpleString()}" for n in names)
 

@@ -54,3 +54,26 @@ def test_other_tokenizer(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b")], "doc_id long, text string")
     got = packing.pack(df, capacity=3, cuts=cuts).collect()
     assert sum(r.tokens for r in got) == 9 and max(r.tokens for r in got) <= 3
+
+
+def test_limits_bind(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, "x" * (3000 if i % 9 == 0 else rng.randint(1, 400))) for i in range(500)], "doc_id long, text string")
+    limits = {"max_docs": 12, "max_cost": 4096**2 / 3}
+    got = packing.pack(df, **limits)
+    report = packing.packing_report(got, **limits).first()
+    assert report.broken == 0 and report.full_of_items > 0 and report.full_of_cost > 0 and report["items"] == 500
+    alone = {r.container for r in got.where("tokens = 3000").collect()}  # 3000 squared is beyond the limit
+    assert got.where(F.col("container").isin(list(alone))).count() == len(alone) == 56
+
+
+def test_pieces_count_for_shards(spark):
+    df = spark.createDataFrame([(i, "ab" * 20_000) for i in range(6)], "doc_id long, text string")
+    got = packing.pack(df, shard=10)
+    assert got.select(F.split("container", "-")[0].alias("s")).distinct().count() > 3
+    assert packing.packing_report(got).first().broken == 0
+
+
+def test_report_of_nothing(spark):
+    row = packing.packing_report(packing.pack(spark.createDataFrame([], "doc_id long, text string"))).first()
+    assert row.containers == 0 and row.fill is None and row.broken == 0

@@ -61,3 +61,10 @@ def test_operator_edges(spark):
         own = sorted((r for r in got if r.item_id == key), key=lambda r: r.piece_index)
         assert "".join(r.piece[r.overlap :] for r in own) == (long if key == "tokens" else "x" * 3501)
     assert split.split_oversized(df.limit(0), ["item_kind", "item_id"]).count() == 0
+
+
+def test_equal_keys_of_different_texts(spark):
+    long = "word " * 600
+    rows = [(None, long), (None, long + "other"), ("a", long), ("a", long), ("a", long + "more")]
+    got = split.split_oversized(spark.createDataFrame(rows, "item_id string, content string"), ["item_id"])
+    assert got.where("piece_index = 0 and item_id is null").count() == 2 and got.where("piece_index = 0 and item_id = 'a'").count() == 2
