@@ -1,8 +1,11 @@
 """Finding and repairing text that was decoded with the wrong character encoding.
 
-Characters are mapped back to the bytes of a legacy encoding, an automaton over the byte structure of
-the true encoding finds the maximal well-formed spans, and only those spans are decoded. For one-byte
-encodings the automaton is compiled into a regular expression over the characters themselves.
+Characters are mapped back to the bytes of the encoding they were wrongly read in, an automaton over the
+byte structure of the true encoding (UTF-8, or a Japanese or Chinese two-byte encoding) finds the maximal
+well-formed multibyte spans, and only those spans are decoded. Where every character is one byte, the
+automaton is compiled into a regular expression over the characters themselves. Western bytes read as
+another one-byte encoding have no multibyte structure; what is left of them is told by signs that stand
+where no word has them.
 """
 
 from __future__ import annotations
@@ -73,6 +76,13 @@ def leads_and_tails(encoding: str) -> tuple[frozenset[str], frozenset[str]]:
     return frozenset(c for c, x in table.items() if x >= 0xC2), frozenset(c for c, x in table.items() if x <= 0xBF)
 
 
+@cache
+def any_pair() -> re.Pattern[str]:
+    """A lead and a tail of any of the one-byte encodings: what no garbled sequence is without."""
+    both = [leads_and_tails(e) for e in ONE_BYTE]
+    return re.compile(one_of([c for leads, _ in both for c in leads]) + one_of([c for _, tails in both for c in tails]))
+
+
 def undo_utf8(text: str, encoding: str) -> tuple[str, int]:
     """Decode the well-formed UTF-8 spans of text as read in the one-byte encoding; and their length."""
     table, covered = byte_of(encoding), 0
@@ -85,54 +95,136 @@ def undo_utf8(text: str, encoding: str) -> tuple[str, int]:
             return m[0]
         if not all(0x80 <= ord(c) < 0x180 or plausible(c) for c in found):
             return m[0]
+        if all("\u2500" <= c <= "\u259f" for c in m[0]) and not all("\xa0" <= c <= "\xff" for c in found):
+            return m[0]  # a drawn frame
         covered += len(m[0])
         return found
 
     return utf8_spans(encoding).sub(decode, text), covered
 
 
-WIDE = re.compile("[\u3000-\u30ff\u3400-\u9fff\uac00-\ud7a3\uff00-\uffef\u2010-\u2027\u2030-\u205e\u0370-\u045f\u2500-\u257f\u20ac\ufffd\x80\u00a1-\u00ff\ue000-\uf8ff]{2,}")
+SEQUENCE = rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})"
+TOKEN = re.compile(rb"(?P<good>" + SEQUENCE + rb")|(?P<ascii>[\x00-\x7f])|(?P<lost>\xff)|(?P<bad>[\x80-\xfe])", re.DOTALL)
+ANY = re.compile(SEQUENCE)
+RUN = re.compile("[^\x00-\x7f]+")
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+# so many sequences in a row are no accident; fewer are believed if they are all of a run of wide characters
+SURE = 6
+
+
+def wide_spans(run: str, encoding: str) -> list[tuple[int, int, str]]:
+    """(start, end, decoded, in characters of run) of the maximal spans whose bytes in the encoding are UTF-8.
+
+    A lost sign (U+FFFD) stands for bytes that the wrong decoding replaced: it and the rest of the sequence
+    it cut stay lost. A character half of whose bytes are in no sequence belongs to no span."""
+    sizes, raw = [], bytearray()
+    for c in run:
+        one = b"\xff" if c == LOST else c.encode(encoding, "ignore") or b"\xfe"
+        sizes.append(len(one))
+        raw += one
+    owner = [i for i, n in enumerate(sizes) for _ in range(n)] + [len(run)]
+    tokens = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(bytes(raw))]
+    kinds = [t[0] for t in tokens]
+    # one or two bad bytes beside a lost sign are the rest of the sequence that it cut
+    for at, step in ((range(len(kinds)), 1), (range(len(kinds) - 1, -1, -1), -1)):
+        left = 0
+        for i in at:
+            if kinds[i] == "lost" and tokens[i][0] == "lost":
+                left = 2
+            elif kinds[i] == "bad" and left:
+                kinds[i], left = "lost", left - 1
+            else:
+                left = 0
+    spans, i = [], 0
+    while i < len(tokens):
+        if kinds[i] == "bad":
+            i += 1
+            continue
+        j = i
+        while j < len(tokens) and kinds[j] != "bad":
+            j += 1
+        a, b = i, j
+        while a < b and (owner[tokens[a][1]] == owner[tokens[a][1] - 1] if tokens[a][1] else False):
+            a += 1
+        while a < b and owner[tokens[b - 1][2]] == owner[tokens[b - 1][2] - 1]:
+            b -= 1
+        while a < b and kinds[a] == "lost" and tokens[a][0] == "lost":
+            a += 1
+        if a < b:
+            parts = [raw[x:y].decode("utf-8") if kind in ("good", "ascii") else LOST for kind, (_, x, y) in zip(kinds[a:b], tokens[a:b])]
+            spans.append((owner[tokens[a][1]], owner[tokens[b - 1][2]], re.sub(LOST + "+", LOST, "".join(parts)), kinds[a:b].count("good")))
+        i = j
+    found = []
+    for start, end, decoded, n in spans:
+        signs = [c for c in decoded if c >= "\x80" and c != LOST]
+        if not signs or not all(plausible(c) for c in signs):
+            continue
+        whole = not run[:start].strip(LOST) and not run[end:].strip(LOST)
+        wide = sum(c >= "\u2e80" for c in signs)
+        if n >= SURE and wide or whole and wide >= 2 and end - start >= 3:
+            found.append((start, end, decoded))
+    return found
+
+
+def latin_span(run: str, encoding: str) -> str | None:
+    """What a run of one to three wide characters within a Latin word is, if its bytes are UTF-8 of Latin letters
+    or of a quotation mark or dash."""
+    try:
+        decoded = run.encode(encoding).decode("utf-8")
+    except UnicodeError:
+        return None
+    return decoded if all("\xc0" <= c <= "\u017f" and c not in "\xd7\xf7" or "\u2010" <= c <= "\u203a" or c < "\x80" for c in decoded) else None
 
 
 def undo_utf8_wide(text: str, encoding: str) -> tuple[str, int]:
-    """Decode spans whose bytes in a two-byte encoding are UTF-8; and their length.
-
-    Bytes that the wrong decoding had replaced stay lost. A span counts if at least four of its
-    characters, and nearly all of its bytes, are in well-formed sequences of plausible characters.
-    """
-    hits = 0
+    """Decode the spans of text whose bytes in the two-byte encoding are UTF-8; and their length."""
+    made, at, hits = [], 0, 0
+    lone: list[tuple[int, int, str, bool]] = []
+    for m in RUN.finditer(text):
+        run = m[0]
+        if len(run) <= 3:
+            before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+            if LATIN.match(before) or LATIN.match(after):
+                inside = latin_span(run, encoding)
+                if inside and run[0] > "\u2e7f":
+                    # a sign may have taken the ASCII letter after it
+                    lone.append((m.start(), m.end(), inside, bool(LATIN.match(before) and (LATIN.match(after) or inside[-1] < "\x80"))))
+                    continue
+        if len(run) < 3 or not ANY.search(run.encode(encoding, "ignore")):
+            continue
+        for start, end, decoded in wide_spans(run, encoding):
+            made += [text[at : m.start() + start], decoded]
+            at = m.start() + end
+            hits += end - start
+    if not hits and lone and (len(lone) > 1 or lone[0][3]):
+        for start, end, decoded, _ in lone:
+            made += [text[at:start], decoded]
+            at = end
+            hits += end - start
+    return "".join(made) + text[at:], hits
+
+
+# Byte ranges of the two-byte encodings: leads and tails of a character, and single bytes beside ASCII.
+STRUCTURE = {
+    "euc_jp": ([(0xA1, 0xFE), (0x8E, 0x8E)], [(0xA1, 0xFE)], []),
+    "gb18030": ([(0x81, 0xFE)], [(0x40, 0x7E), (0x80, 0xFE)], []),
+    "cp932": ([(0x81, 0x9F), (0xE0, 0xFC)], [(0x40, 0x7E), (0x80, 0xFC)], [(0xA1, 0xDF)]),
+    "big5": ([(0xA1, 0xF9)], [(0x40, 0x7E), (0xA1, 0xFE)], []),
+}
 
-    def decode(m: re.Match[str]) -> str:
-        nonlocal hits
-        span = m[0]
-        raw = bytearray()
-        for c in span:
-            try:
-                raw += b"\xff" if c == LOST else c.encode(encoding)
-            except UnicodeEncodeError:
-                return span
-        found = bytes(raw).decode("utf-8", "replace")
-        good = [c for c in found if c != LOST]
-        wide = [c for c in good if ord(c) >= 0x80]
-        used = sum(len(c.encode()) for c in good)
-        if len(span) >= 3 and len(wide) >= 2 and used >= 0.6 * len(raw) and all(plausible(c) for c in wide):
-            hits += len(span)
-            return re.sub(LOST + "+", LOST, found)
-        return span
 
-    return WIDE.sub(decode, text), hits
-
-
-HIGH = re.compile("[\x80-\xff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]{4,}")
-SJIS = re.compile("[\x80-\xff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122\x40-\x7e]{4,}")
+@cache
+def legacy_spans(encoding: str) -> re.Pattern[str]:
+    """Maximal runs of characters whose bytes, read as cp1252, are well-formed in the two-byte encoding."""
+    table = byte_of("cp1252") | {chr(b): b for b in range(0x40, 0x7F)} | {chr(b): b for b in range(0x80, 0xA0)}
+    pick = lambda ranges: one_of([c for c, x in table.items() if any(a <= x <= b for a, b in ranges)])
+    leads, tails, singles = STRUCTURE[encoding]
+    forms = [pick(leads) + pick(tails)] + ([pick(singles)] if singles else [])
+    return re.compile("(?:" + "|".join(forms) + ")+")
 
 
-def legacy_bytes(span: str) -> bytes | None:
-    table = byte_of("cp1252")
-    try:
-        return bytes(ord(c) if ord(c) < 0x100 else table[c] for c in span)
-    except KeyError:
-        return None
+KANA = re.compile("[\u3041-\u30ff]")
+LEGACY = re.compile("[\x80-\xff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]{2}")
 
 
 def east_asian(found: str) -> float:
@@ -145,47 +237,43 @@ def east_asian(found: str) -> float:
 
 
 def undo_legacy(text: str) -> tuple[str, int]:
-    """Decode spans of Japanese or Chinese legacy bytes that were read as Western text; and their length."""
-    hits = 0
-
-    def decode(m: re.Match[str]) -> str:
-        nonlocal hits
-        span = m[0]
-        high = sum(ord(c) >= 0x80 for c in span)
-        raw = legacy_bytes(span)
-        if raw is None or high < 4:
-            return span
-        best = (0.0, span)
-        for encoding in ("euc_jp", "gb18030", "cp932", "big5"):
-            if encoding != "cp932" and high != len(span):
-                continue
+    """Decode spans of Japanese or Chinese legacy bytes that were read as cp1252; and their length.
+
+    Of the encodings the one whose well-formed spans decode to most of the text's garbled signs is undone;
+    kana, in the spans or in the rest of the text, speak for a Japanese one, none for a Chinese one."""
+    best = (0.0, text, 0)
+    for encoding in STRUCTURE:
+        hits = kana = 0
+        worth = 0.0
+
+        def decode(m: re.Match[str]) -> str:
+            nonlocal hits, kana, worth
+            span = m[0]
+            high = sum(c >= "\x80" for c in span)
+            if high < 4:
+                return span
+            table = byte_of("cp1252")
+            raw = bytes(table[c] if c in table else ord(c) for c in span)
             try:
                 found = raw.decode(encoding)
             except UnicodeDecodeError:
-                found = ""
-                for cut in (1, 2):  # a span may begin or end with a sign of its own
-                    try:
-                        found = raw[:-cut].decode(encoding) + span[-cut:]
-                        break
-                    except UnicodeDecodeError:
-                        continue
-            if not found:
-                continue
-            kana = sum(0x3040 <= ord(c) <= 0x30FF for c in found)
-            value = east_asian(found) + (0.3 * kana / len(found) if encoding in ("euc_jp", "cp932") else 0)
-            if kana == 0:  # pure Han is most likely Chinese
-                value -= {"cp932": 0.5, "euc_jp": 0.1, "big5": 0.05}.get(encoding, 0)
-            if value > best[0] + 1e-9:
-                best = (value, found)
-        if best[0] >= 0.85 and len(best[1]) <= 0.75 * len(span) + 1:
+                return span
+            value = east_asian(found)
+            if value < 0.85 or len(found) > 0.75 * len(span) + 1:
+                return span
             hits += len(span)
-            return best[1]
-        return span
+            kana += len(KANA.findall(found))
+            worth += value * high
+            return found
 
-    out = HIGH.sub(decode, text)
-    if not hits:
-        out = SJIS.sub(decode, text)
-    return out, hits
+        new = legacy_spans(encoding).sub(decode, text)
+        if not hits:
+            continue
+        japanese = kana > 0 or bool(KANA.search(text))
+        worth *= 1.3 if japanese and encoding in ("cp932", "euc_jp") else 0.5 if not japanese and encoding == "cp932" else 0.9 if not japanese and encoding == "euc_jp" else 0.95 if encoding == "big5" else 1.0
+        if worth > best[0] + 1e-9:
+            best = (worth, new, hits)
+    return best[1], best[2]
 
 
 LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
@@ -196,29 +284,52 @@ CAPITAL = re.compile("(?<=[a-z])[\u00c0-\u00d6\u00d8-\u00de\u0152\u0160\u0178](?
 ALONE = re.compile("(?<=\\s)[\u00c0-\u00d6\u00d8-\u00df\u00e2-\u00e7\u00ea-\u00f2\u00f4-\u00f6\u00f8-\u00ff](?=\\s)")
 
 
+# Greek, Cyrillic and frames: right beside one another, and in short symbols such as \u03c0r or \u0394t
+GREEK = re.compile("[\u0370-\u045f\u2500-\u259f]")
+WORD = re.compile(f"[{LETTER}]*")
+
+
+def among(text: str, i: int) -> bool:
+    """Whether the sign at place i stands among Greek, Cyrillic or frame signs that are no part of a Latin word."""
+    a, b = i, i + 1
+    while a > 0 and GREEK.match(text[a - 1]):
+        a -= 1
+    while b < len(text) and GREEK.match(text[b]):
+        b += 1
+    within = a > 0 and b < len(text) and LATIN.match(text[a - 1]) and LATIN.match(text[b])
+    return b - a > 1 and not (within and b - a <= 3)
+
+
+def belongs(text: str, i: int, new: str) -> bool:
+    """Whether the letter, quotation mark or dash new would stand right at place i of text."""
+    before, after = text[i - 1 : i] if i else "", text[i + 1 : i + 2]
+    inside = before.isalpha() and after.isalpha()
+    if new == "\u2019":
+        return inside
+    if new in "\u2013\u2014":
+        return not inside
+    if not new.isalpha():
+        return new in "\xbf\xa1\xab" and after.isalpha() or new == "\xbb" and before.isalpha()
+    if new.islower():
+        return True
+    return not before.islower() and (not inside or after.isupper() or not before.isalpha())
+
+
 def undo_western(text: str) -> tuple[str, int]:
-    """Western bytes read in another one-byte encoding: every misfit sign must become a fitting one."""
-    misfits = [m for m in STRANGE.finditer(text)] + [m for m in CAPITAL.finditer(text)] + [m for m in ALONE.finditer(text)]
-    if not misfits:
-        return text, 0
-    best = (0, text, 0)
-    for encoding in ("cp437", "cp850", "mac_roman", "cp1250"):
+    """Western bytes read in another one-byte encoding: signs that stand where no word has them become what
+    they are in the encoding that fits most of them, and with them, where it belongs, what else that
+    encoding has beside Latin letters. Signs that fit nothing stay."""
+    misfits = [m for m in STRANGE.finditer(text) if not GREEK.match(m[0]) or len(WORD.match(text, m.end())[0]) + len(WORD.match(text[: m.start()][:-3:-1])[0]) > 1]
+    misfits += [m for m in CAPITAL.finditer(text)] + [m for m in ALONE.finditer(text)]
+    best: dict[int, str] = {}
+    for encoding in ("cp437", "cp850", "mac_roman", "cp1250") if misfits else ():
         table = byte_of(encoding)
-        fits = 0
-        for m in misfits:
-            b = table.get(m[0])
-            new = bytes([b]).decode("cp1252", "ignore") if b is not None else ""
-            inside = m.start() > 0 and text[m.start() - 1].isalpha() and m.end() < len(text) and text[m.end()].isalpha()
-            if new and (new == "\u2019" and inside or new.isalpha() and new.islower() or new in "\u2013\u2014" and not inside or new.isalpha() and not inside and not (m.start() and text[m.start() - 1].islower())):
-                fits += 1
-        if fits > best[0]:
-            spots = {c for m in misfits for c in m[0] if c in table}
-            spots |= {c for c in set(text) if c in table and not re.match(f"[{LETTER}]", c) and bytes([table[c]]).decode("cp1252", "ignore").islower()}
-            swap = {ord(c): bytes([table[c]]).decode("cp1252", "ignore") or c for c in spots}
-            best = (fits, text.translate(swap), fits)
-    if best[2] and best[2] >= 0.7 * len(misfits):
-        return best[1], best[2]
-    return text, 0
+        western = {c: bytes([b]).decode("cp1252", "ignore") for c, b in table.items()}
+        fits = {m.start(): western[m[0]] for m in misfits if western.get(m[0]) and western[m[0]] not in "\xbf\xa1\xab\xbb" and belongs(text, m.start(), western[m[0]])}
+        if len(fits) > len(best):
+            more = {i: western[c] for i, c in enumerate(text) if western.get(c) and not LATIN.match(c) and belongs(text, i, western[c]) and not among(text, i)}
+            best = more | fits
+    return "".join(best.get(i, c) for i, c in enumerate(text)) if best else text, len(best)
 
 
 def repair(text: str) -> tuple[str, str, int]:
@@ -230,16 +341,17 @@ def repair(text: str) -> tuple[str, str, int]:
     if text.isascii():
         return text, "", 0
     undone: list[str] = []
-    for _ in range(6):
+    while True:  # every round makes the text shorter
         chars = {c for c in text if c >= "\x80"}
         tries = []
-        for encoding in ONE_BYTE:
-            leads, tails = leads_and_tails(encoding)
-            if not leads.isdisjoint(chars) and not tails.isdisjoint(chars):
-                new, covered = undo_utf8(text, encoding)
-                if covered:
-                    tries.append((covered, f"utf-8 as {encoding}", new))
-        if any("\x80" <= c <= "\xff" for c in chars):
+        if any_pair().search(text):
+            for encoding in ONE_BYTE:
+                leads, tails = leads_and_tails(encoding)
+                if not leads.isdisjoint(chars) and not tails.isdisjoint(chars):
+                    new, covered = undo_utf8(text, encoding)
+                    if covered:
+                        tries.append((covered, f"utf-8 as {encoding}", new))
+        if LEGACY.search(text):
             new, covered = undo_legacy(text)
             if covered:
                 tries.append((covered, "legacy as cp1252", new))
@@ -248,7 +360,7 @@ def repair(text: str) -> tuple[str, str, int]:
         best = max(tries, key=lambda t: t[0])
         undone.append(best[1])
         text = best[2]
-    if any("\u3400" <= c <= "\u9fff" or "\uff61" <= c <= "\uff9f" for c in text):
+    if any("\u2e80" <= c for c in chars):
         for encoding in TWO_BYTE:
             new, covered = undo_utf8_wide(text, encoding)
             if covered:
@@ -265,8 +377,8 @@ def repair(text: str) -> tuple[str, str, int]:
 def repair_encoding(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, repaired, undone, lost of every document that has wrongly decoded characters.
 
-    lost counts signs that can't be restored (U+FFFD); a document with nothing but those is reported
-    with undone "". Null and empty texts, and ASCII texts (which never reach Python), have no rows.
+    lost counts signs that can't be restored (U+FFFD), whose bytes some decoding before had replaced; a
+    document with nothing but those is reported with undone "", its text as it is. Null and empty texts, and ASCII texts (which never reach Python), have no rows.
     """
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).where(F.octet_length("body") != F.length("body"))
 

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from recollary.llm import encoding
@@ -63,3 +65,39 @@ def test_operator(spark):
     got = {r.doc_id: (r.repaired, r.lost) for r in encoding.repair_encoding(df).collect()}
     assert set(got) == {1, 6, 7, 8} and got[1] == ("größer", 0) and got[6][0] == "größer" * 20_000 and got[8] == ("x�", 1)
     assert encoding.repair_encoding(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("garbled", "right"), [("caf茅 d茅j脿 vu", "café déjà vu"), ("cafﾃｩ", "cafﾃｩ"), ("une fenﾃｪtre ouverte", "une fenêtre ouverte"), ("We don鈥檛 know", "We don’t know"), ("gr枚脽er als n枚tig", "größer als nötig")])
+def test_western_text_read_as_two_byte(garbled, right):
+    assert encoding.repair(garbled)[0] == right
+
+
+@pytest.mark.parametrize("text", ["他说Tom猫很可爱", "A茅台", "昨日のTシャツは¥3000", "ﾃｽﾄ ﾃﾞｰﾀ", "Δt und πr² bleiben", "│ a │ b │\n├──┼──┤", "x ≤ y ≥ z", "10 µm ± 2"])
+def test_rare_but_right(text):
+    assert encoding.repair(text)[0] == text
+
+
+def test_signs_lost_within_a_wide_span():
+    for text, wrong in ((GOOD[5], "cp932"), (GOOD[6], "gb18030")):
+        fixed = encoding.repair(text.encode().decode(wrong, "replace"))[0]
+        kept = [c for c in fixed if c in text]
+        assert len(kept) >= 0.8 * len(text) and set(fixed) <= set(text) | {encoding.LOST}
+
+
+def test_right_and_garbled_in_one_run():
+    right, part = "夜間の統合処理は", "担当者がいません夜間の統合処理"
+    garbled = part.encode().decode("gb18030", "replace")
+    assert encoding.repair(right + garbled)[0].startswith(right)
+
+
+def test_greek_beside_garbled():
+    bad = "Je déconseille de vérifier".encode("cp1252").decode("cp437")
+    assert encoding.repair(bad + " ; Ωμ λόγος ∑x")[0] == "Je déconseille de vérifier ; Ωμ λόγος ∑x"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(min_codepoint=1, max_codepoint=0x17F, exclude_categories=("Cs",)), st.characters(min_codepoint=0x2000, max_codepoint=0x20AF), st.characters(min_codepoint=0x3040, max_codepoint=0x9FFF), st.characters(min_codepoint=0xFF61, max_codepoint=0xFFFD)), max_size=60))
+def test_any_text(text):
+    fixed, undone, lost = encoding.repair(text)
+    assert undone or fixed == text
+    assert lost == fixed.count(encoding.LOST)
