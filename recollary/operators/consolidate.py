@@ -54,6 +54,16 @@ def leader_clusters(items: DataFrame, order: str = "insert_seq", vector: str = "
     return copies.join(led.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
 
 
+def clustered(memories: DataFrame, chunks: DataFrame, size: int = 64, threshold: float = 0.9) -> DataFrame:
+    """Memories with cluster: the insert_seq of their leader, by the vectors of their first chunks.
+
+    A memory without a usable vector is in no cluster (null); alone with one, it is its own."""
+    first = chunks.where(F.col("embedding").isNotNull()).groupBy("memory_id").agg(F.min_by("embedding", F.struct("chunk_index", "chunk_id")).alias("_v"))
+    placed = memories.select("memory_id", "insert_seq").join(first, "memory_id")
+    led = leader_clusters(placed, "insert_seq", "_v", size, threshold).select(F.col("id").alias("insert_seq"), F.col("leader").cast("string").alias("cluster"))
+    return memories.join(led, "insert_seq", "left")
+
+
 def score_of_representative(as_of: Column) -> Column:
     """0.5 x content length + 300 x recency by days + 200 x importance."""
     days = F.floor(seconds(as_of, "created_at") / 86400)
@@ -97,13 +107,20 @@ def forget(memories: DataFrame, chunks: DataFrame, as_of: Column) -> tuple[DataF
     return memories.where(~forgettable(as_of)), chunks.join(gone, "memory_id", "left_anti")
 
 
-def consolidate(memories: DataFrame, chunks: DataFrame, cluster: Column, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """migrate, mark representatives, compress, forget: the new memories and chunks, and a row of counts."""
+def consolidate(memories: DataFrame, chunks: DataFrame, as_of: Column, cluster: Column | None = None, size: int = 64, threshold: float = 0.9) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """migrate, cluster, mark representatives, compress, forget: the new memories and chunks, and a row of counts.
+
+    Clusters are those of leaders by similarity, unless a column names them. clusters_created counts those of
+    one memory too; only clusters of two or more get a representative."""
     moved = migrate(memories, as_of)
-    chosen = representatives(moved, cluster, as_of)
-    marked = cut(mark(moved, chosen, cluster, as_of))
-    stats = marked.agg(
+    grouped = cut(clustered(moved, chunks, size, threshold) if cluster is None else moved.withColumn("cluster", cluster))
+    own = F.col("cluster")
+    chosen = representatives(grouped, own, as_of)
+    marked = cut(mark(grouped, chosen, own, as_of))
+    created = grouped.agg(F.count_distinct("cluster").alias("clusters_created"))
+    stats = marked.crossJoin(F.broadcast(created)).agg(
         F.count_if((F.col("migrated_at") == as_of)).alias("migrated"),
+        F.coalesce(F.max("clusters_created"), F.lit(0)).alias("clusters_created"),
         F.count_if("is_representative").alias("clusters"),
         F.count_if(F.col("compressed_at") == as_of).alias("compressed"),
         F.count_if(forgettable(as_of)).alias("forgotten"),

@@ -51,16 +51,17 @@ def distribution(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return total.join(middle, by)
 
 
-def positions(counts: DataFrame, value: str, by: list[str], shares: dict[str, float | None]) -> DataFrame:
+def positions(counts: DataFrame, value: str, by: list[str], shares: dict[str, float | None], ranges: int = 128) -> DataFrame:
     """by and one column a share: the value at index int(n x share) of the sorted values of each group (None:
     n // 2, the upper median).
 
-    counts: by, value, m (rows of that value). Values are cut into ranges first: only the range that holds
-    the index is ordered, so no group is sorted in one task as a whole."""
+    counts: by, value, m (rows of that value). The different values are cut into ranges of about equal number
+    first, at approximate quantiles: only the range that holds the index is ordered, so no group is sorted in
+    one task as a whole, however uneven its values are."""
     v = F.col(value)
-    width = F.greatest(F.lit(1e-12), (F.col("_high") - F.col("_low")) / 256)
-    ends = counts.groupBy(*by).agg(F.min(v).alias("_low"), F.max(v).alias("_high"), F.sum("m").alias("_n"))
-    binned = counts.join(ends, by).withColumn("_bin", F.floor((v - F.col("_low")) / width).cast("int"))
+    cuts = F.percentile_approx(v, [i / ranges for i in range(1, ranges)], 20 * ranges)
+    ends = counts.groupBy(*by).agg(F.array_distinct(cuts).alias("_cuts"), F.sum("m").alias("_n"))
+    binned = counts.join(ends, by).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= v))).drop("_cuts")
     per_bin = binned.groupBy(*by, "_bin").agg(F.sum("m").alias("_in"), F.first("_n").alias("_n"))
     earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     upto = per_bin.withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))

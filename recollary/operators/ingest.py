@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollary.functions import text as T
@@ -138,15 +138,24 @@ def long_pieces(text: str, size: int = 3500, overlap: int = 200) -> list[str]:
     return made
 
 
-def session_conversations(lines: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Closed sessions as conversations: one row each, with refs session://id and its counts.
-
-    lines: sessions.log_lines(). The log's text is joined per session, so keep sessions closed when idle
-    (idle_sessions bounds their length)."""
-    joined = lines.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "line"))).alias("l"))
+def session_conversations(lines: DataFrame, sessions: DataFrame, most: int = 1000, bucket_seconds: int = 60) -> DataFrame:
+    """Closed sessions as conversations, with refs session://id and their counts.
+
+    lines: sessions.log_lines(). A log of more than most lines becomes parts of that length, a row each with the
+    session's ref, so that no session's text is one value. Lines are numbered within buckets of time first,
+    and only the buckets' sizes are summed over the session."""
+    bucket = F.floor(F.unix_micros("ts") / (bucket_seconds * 1_000_000))
+    placed = lines.withColumn("b", bucket).withColumn("n", F.row_number().over(Window.partitionBy("session_id", "b").orderBy("ts", "event_id")))
+    sizes = placed.groupBy("session_id", "b").agg(F.count("*").alias("size"))
+    earlier = Window.partitionBy("session_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("session_id").alias("_s"), F.col("b").alias("_b"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    numbered = placed.join(before, F.col("session_id").eqNullSafe(F.col("_s")) & F.col("b").eqNullSafe(F.col("_b")))
+    parts = numbered.withColumn("part", F.floor((F.col("before") + F.col("n") - 1) / most))
+    joined = parts.groupBy("session_id", "part").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "line"))).alias("l"))
     log = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    named = F.when(F.col("part") > 0, F.concat(F.lit(", part "), F.col("part") + 1)).otherwise("")
     return joined.join(sessions, "session_id").select(
-        F.concat(F.lit("Session "), "session_id").alias("user"), log.alias("assistant"), F.lit("session").alias("source"), F.col("ended_at").alias("created_at"),
+        F.concat(F.lit("Session "), "session_id", named).alias("user"), log.alias("assistant"), F.lit("session").alias("source"), F.col("ended_at").alias("created_at"),
         F.lit(None).cast("string").alias("project_id"), F.array(F.concat(F.lit("session://"), "session_id")).alias("refs"), F.lit(None).cast("string").alias("topic"), F.lit(None).cast("string").alias("doc_type"), "n_commands", "seconds",
     )
 

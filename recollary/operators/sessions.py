@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,24 @@ def once(events: DataFrame) -> DataFrame:
     return first.select("event_id", "e.*")
 
 
+def idle_runs(events: DataFrame, gap_seconds: int = 600, bucket_seconds: int = 21_600, key: str = "session_id") -> DataFrame:
+    """The events that have a time, with run_started: the start of the run of events with no pause longer than
+    the gap that each is in. In two levels as idle_sessions, so events meet only rows of their own bucket."""
+    limit = gap_seconds * 1_000_000
+    t = F.unix_micros("ts")
+    timed = events.where(F.col("ts").isNotNull()).withColumn("_bucket", F.floor(t / (bucket_seconds * 1_000_000)))
+    inside = Window.partitionBy(key, "_bucket").orderBy("ts")
+    opened = timed.withColumn("_new", (F.coalesce(t - F.unix_micros(F.lag("ts").over(inside)), F.lit(limit + 1)) > limit).cast("int"))
+    placed = opened.withColumn("_run", F.sum("_new").over(inside)).drop("_new")
+    runs = placed.groupBy(key, "_bucket", "_run").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
+    across = Window.partitionBy(key).orderBy("_a")
+    new = F.coalesce(F.unix_micros("_a") - F.unix_micros(F.lag("_b").over(across)), F.lit(limit + 1)) > limit
+    started = runs.withColumn("_new", new).withColumn("run_started", F.max(F.when(F.col("_new"), F.col("_a"))).over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    names = started.select(F.col(key).alias("_key"), F.col("_bucket").alias("_in"), F.col("_run").alias("_no"), "run_started")
+    met = placed.join(names, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_in")) & (F.col("_run") == F.col("_no")))
+    return met.select(*events.columns, "run_started")
+
+
 def idle_sessions(events: DataFrame, gap_seconds: int = 600, bucket_seconds: int = 21_600, key: str = "session_id") -> DataFrame:
     """key, started_at, ended_at, events: runs of events with no pause longer than the gap.
 
@@ -41,18 +62,41 @@ def routed(events: DataFrame) -> DataFrame:
 
 
 def distinct_messages(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
-    """Events without those whose message (session, role, text) came less than ttl earlier.
+    """Events without those whose message (session, role, text) was kept less than ttl earlier.
 
-    A message that keeps coming is kept again once ttl has passed since the copy before it."""
-    keyed = events.withColumn("message_key", message_key("session_id", "role", text_of()))
+    A message that keeps coming is kept again once ttl has passed since its last kept copy. Of equal times the
+    smallest event_id is kept; events without a time are all kept. A message that pauses for ttl starts afresh,
+    so only the times of chains without such a pause are walked, in order and one at a time, whatever their
+    number; the pauses are found in buckets of one ttl, so a message said very often is not one task."""
     limit = ttl_seconds * 1_000_000
-    # in buckets of one ttl, so that a message said very often is not one task: what came before is in the
-    # same bucket or in the one before
-    placed = keyed.withColumn("_t", F.unix_micros("ts")).withColumn("_b", F.floor(F.col("_t") / limit))
-    last = placed.where("_b is not null").groupBy("message_key", (F.col("_b") + 1).alias("_b")).agg(F.max("_t").alias("_last"))
-    inside = F.lag("_t").over(Window.partitionBy("message_key", "_b").orderBy("_t", "event_id"))
-    aged = placed.withColumn("_same", inside).join(last, ["message_key", "_b"], "left").withColumn("_age", F.col("_t") - F.coalesce("_same", "_last"))
-    return aged.where(F.col("_age").isNull() | (F.col("_age") >= limit)).select(*events.columns, "message_key")
+    keyed = events.withColumn("message_key", message_key("session_id", "role", text_of()))
+    times = keyed.where("ts is not null").groupBy("message_key", F.unix_micros("ts").alias("t")).agg(F.min("event_id").alias("event_id"))
+    placed = times.withColumn("b", F.floor(F.col("t") / limit))
+    # what came before is in the same bucket or in the one before, or it is longer ago than ttl
+    last = placed.groupBy("message_key", (F.col("b") + 1).alias("b")).agg(F.max("t").alias("last"))
+    inside = Window.partitionBy("message_key", "b").orderBy("t")
+    aged = placed.withColumn("same", F.lag("t").over(inside)).join(last, ["message_key", "b"], "left")
+    opened = aged.withColumn("open", F.coalesce(F.col("t") - F.coalesce("same", "last") >= limit, F.lit(True)))
+    upto = F.max(F.when(F.col("open"), F.col("t")))
+    own = opened.withColumn("own", upto.over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = opened.groupBy("message_key", "b").agg(upto.alias("chain")).withColumn("chain", F.max("chain").over(Window.partitionBy("message_key").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
+    chained = own.join(carried, ["message_key", "b"]).select("message_key", F.coalesce("own", "chain").alias("chain"), "t", "event_id")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, kept = None, 0
+        for batch in batches:
+            keep = []
+            for key, chain, t in zip(batch["message_key"].to_pylist(), batch["chain"].to_pylist(), batch["t"].to_pylist()):
+                good = (key, chain) != of or t - kept >= limit
+                of = (key, chain)
+                kept = t if good else kept
+                keep.append(good)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ordered = chained.repartition("message_key", "chain").sortWithinPartitions("message_key", "chain", "t")
+    kept = ordered.mapInArrow(walk, chained.schema).select("message_key", "t", F.col("event_id").alias("_id"))
+    timed = keyed.withColumn("t", F.unix_micros("ts")).join(kept, ["message_key", "t"]).where(F.col("event_id").eqNullSafe(F.col("_id")))
+    return timed.select(*events.columns, "message_key").unionByName(keyed.where("ts is null"))
 
 
 def hints(events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def newest(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -46,14 +47,28 @@ def import_rows(table: DataFrame, rows: DataFrame, key: str, content: str, force
     return upsert(table, good, key) if force else table.unionByName(delete(good, table, key), allowMissingColumns=True)
 
 
-def matching(filters: dict[str, object]) -> Column:
-    """Conjunction of equalities; a list column matches by membership, or as a whole if a list is given."""
-    return reduce(lambda a, b: a & b, [F.col(k) == (F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)) for k, v in filters.items()], F.lit(True))
+def matching(table: DataFrame, filters: dict[str, object]) -> Column:
+    """Conjunction over the table's columns: equality; a list column matches by membership, or as a whole if a list
+    is given; {"$ne": value} by inequality, which a null passes. Other columns than a list never equal a list."""
+    kinds = {f.name: f.dataType for f in table.schema.fields}
 
+    def one(name: str, wanted: object) -> Column:
+        listed = isinstance(kinds[name], T.ArrayType)
+        if isinstance(wanted, dict):
+            return ~F.coalesce(one(name, wanted["$ne"]), F.lit(False))
+        if isinstance(wanted, list):
+            return F.col(name) == F.array(*map(F.lit, wanted)).cast(kinds[name]) if listed else F.lit(False)
+        return F.array_contains(name, F.lit(wanted)) if listed else F.col(name) == F.lit(wanted)
 
-def not_equal(column: str, value: object) -> Column:
-    """Also true where the column is null."""
-    return ~F.col(column).eqNullSafe(F.lit(value))
+    return reduce(lambda a, b: a & b, [one(k, v) for k, v in filters.items()], F.lit(True))
+
+
+def prepared_filters(filters: dict[str, object] | None = None, attributes: dict[str, object] | None = None, with_summaries: bool = False) -> dict[str, object] | None:
+    """The user's filters, attributes that they do not set, and no session summaries unless asked for; None if empty."""
+    made = {**(attributes or {}), **(filters or {})}
+    if not with_summaries:
+        made.setdefault("is_session_summary", {"$ne": True})
+    return made or None
 
 
 def entries(memories: DataFrame, chunks: DataFrame, inherit: bool = False) -> DataFrame:

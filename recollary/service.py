@@ -66,14 +66,15 @@ class Service:
     def get_memory(self, memory_id: str) -> DataFrame:
         """One row for the memory or entry id, with its chunks in order; none if it is unknown."""
         own = self.memories.where((F.col("memory_id") == memory_id) | (F.col("entry_id") == memory_id))
-        parts = self.chunks.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "content"))).alias("chunks"))
+        # the chunks of this memory only
+        parts = self.chunks.join(own.select("memory_id"), "memory_id", "left_semi").groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "content"))).alias("chunks"))
         return own.join(parts, "memory_id", "left")
 
     def list_recent_memories(self, limit: int = 10, filters: dict[str, object] | None = None) -> DataFrame:
-        return catalog.list_recent(self.memories, limit, tables.matching(filters) if filters else None)
+        return catalog.list_recent(self.memories, limit, tables.matching(self.memories, filters) if filters else None)
 
     def consolidate_memories(self, cluster: Column | None = None) -> tuple[Service, DataFrame]:
-        kept, rest, stats = consolidate.consolidate(self.memories, self.chunks, F.col("cluster_id") if cluster is None else cluster, self.as_of)
+        kept, rest, stats = consolidate.consolidate(self.memories, self.chunks, self.as_of, cluster)
         return replace(self, memories=kept, chunks=rest), stats
 
     # -- sessions ------------------------------------------------------------------------------

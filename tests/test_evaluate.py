@@ -54,3 +54,10 @@ def test_training_matches_a_plain_loop(spark):
     df = spark.createDataFrame([(*f, y) for f, y in rows], ", ".join(f"{f} double" for f in evaluate.FEATURES) + ", is_relevant int")
     assert list(evaluate.train_weights(df, epochs=5).values()) == pytest.approx(want, abs=1e-9)
     assert sum(evaluate.train_weights(df.limit(0)).values()) == pytest.approx(1)
+
+
+def test_positions_with_an_outlier(spark):
+    rows = [("g", float(i)) for i in range(1000)] + [("g", 1e12), ("h", 5.0), ("h", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: (r.n, r.p50, r.p95) for r in evaluate.percentiles(df, "x", ["g"], {"p50": 0.5, "p95": 0.95}).collect()}
+    assert got == {"g": (1001, 500.0, 950.0), "h": (1, 5.0, 5.0)}

@@ -36,8 +36,8 @@ def test_representative_and_marks(spark):
     assert [(r.cluster, r.memory_id, r.cluster_size) for r in chosen.collect()] == [("k", "b", 3)]
     marked = {r.memory_id: (r.cluster_id, r.is_representative, r.is_compressed) for r in consolidate.mark(df, chosen, F.col("cluster_id"), F.lit(NOW)).collect()}
     assert marked["b"] == ("cluster-b", True, False) and marked["a"] == ("cluster-b", False, True) and marked["d"] == ("single", False, False)
-    stats = consolidate.consolidate(df, spark.createDataFrame([], "chunk_id string, memory_id string"), F.col("cluster_id"), F.lit(NOW))[2].first()
-    assert (stats.clusters, stats.compressed, stats.forgotten) == (1, 2, 0)
+    stats = consolidate.consolidate(df, spark.createDataFrame([], "chunk_id string, memory_id string"), F.lit(NOW), F.col("cluster_id"))[2].first()
+    assert (stats.clusters, stats.clusters_created, stats.compressed, stats.forgotten) == (1, 2, 2, 0)
 
 
 def test_representative_ties_go_to_the_first(spark):
@@ -55,3 +55,13 @@ def test_catalog(spark):
     marks = spark.createDataFrame([("b1", "release plan", 2), ("b2", "release", 9), ("b3", "else", 99)], "bookmark_id string, query string, usage_count long")
     asked = spark.createDataFrame([(1, "the release plan")], "query_id long, query string")
     assert [r.bookmark_id for r in catalog.recommend(asked, marks).orderBy("rank").collect()] == ["b1", "b2"]
+
+
+def test_consolidation_clusters_by_vectors(spark):
+    df = memories(spark, [(i, "working", "x" * n, 0.5, 0, "stale") for i, n in [("a", 10), ("b", 900), ("c", 5), ("d", 7)]]).withColumn("insert_seq", F.ascii("memory_id").cast("long"))
+    one, near, far = [1.0, 0.0, 0.0], [0.99, 0.1, 0.0], [0.0, 1.0, 0.0]
+    chunks = spark.createDataFrame([("a-0", "a", 0, one), ("a-1", "a", 1, far), ("b-0", "b", 0, near), ("c-0", "c", 0, far), ("d-0", "d", 0, None)], "chunk_id string, memory_id string, chunk_index int, embedding array<float>")
+    kept, _, stats = consolidate.consolidate(df, chunks, F.lit(NOW), size=3)
+    assert (stats.first().clusters_created, stats.first().clusters, stats.first().compressed) == (2, 1, 1)
+    got = {r.memory_id: (r.cluster_id, r.is_representative) for r in kept.collect()}
+    assert got["a"] == got["a"][:1] + (False,) and got["b"] == ("cluster-b", True) and got["a"][0] == "cluster-b" and got["c"] == ("stale", False) and got["d"] == ("stale", False)

@@ -60,15 +60,15 @@ def grouped_vectors(n, size, seed):
     return x.astype(np.float32)
 
 
-def test_similar_pairs_recall(spark):
-    x = grouped_vectors(1200, 32, 1)
+@pytest.mark.parametrize(("cell", "block", "scale"), [(128, 64, 1.0), (40, 500, 0.3), (5000, 50, 1.0)])
+def test_similar_pairs_are_exact(spark, cell, block, scale):
+    x = grouped_vectors(1200, 32, 1) * np.float32(scale) + np.float32(1 - scale)  # the smaller the scale, the closer all lie
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = unit.astype(np.float64) @ unit.T.astype(np.float64)
     want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s >= 0.9, 1))) if 5 not in (i, j)}
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
-    got = {(r.a, r.b) for r in vectors.similar_pairs(df, "id", "v", 32, 0.9, cell=128, block=64).collect()}
-    assert len(got & want) >= 0.98 * len(want)
-    assert not got - want
+    got = {(r.a, r.b) for r in vectors.similar_pairs(df, "id", "v", 32, 0.9, cell=cell, block=block).collect()}
+    assert got == want
 
 
 def plain_leaders(n, edges):
@@ -182,4 +182,14 @@ def test_table_operations(spark):
     assert [r.id for r in tables.delete(table, new, "id").collect()] == ["a"]
     assert {r.id: r.n for r in tables.import_rows(table, new.withColumn("t", F.lit("x")), "id", "t").collect()} == {"a": 1, "b": 2, "c": 3}
     assert {r.id: r.n for r in tables.import_rows(table, new.withColumn("t", F.lit("x")), "id", "t", force=True).collect()} == {"a": 1, "b": 9, "c": 3}
-    assert [r.id for r in table.where(tables.matching({"n": 2})).collect()] == ["b"]
+    assert [r.id for r in table.where(tables.matching(table, {"n": 2})).collect()] == ["b"]
+
+
+def test_matching(spark):
+    table = spark.createDataFrame([("a", 1, ["x", "y"], True), ("b", None, ["x"], None), ("c", 1, None, False), ("d", 2, [], None)], "id string, n int, tags array<string>, is_session_summary boolean")
+    found = lambda filters: [r.id for r in table.where(tables.matching(table, filters)).orderBy("id").collect()]
+    assert found({"tags": "x"}) == ["a", "b"] and found({"tags": ["x"]}) == ["b"] and found({"tags": ["y", "x"]}) == [] and found({"tags": []}) == ["d"]
+    assert found({"tags": "x", "n": 1}) == ["a"] and found({"n": [1]}) == [] and found({}) == ["a", "b", "c", "d"]
+    assert found({"n": {"$ne": 1}}) == ["b", "d"] and found({"tags": {"$ne": "x"}}) == ["c", "d"]
+    assert tables.prepared_filters(None, None, with_summaries=True) is None
+    assert found(tables.prepared_filters({"n": 1}, {"n": 2, "tags": "x"})) == [] and found(tables.prepared_filters({"n": 1})) == ["c"]

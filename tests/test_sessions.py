@@ -1,6 +1,8 @@
 import time
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from recollary.operators import sessions
 from recollary.sources.tail import TailSource
 from recollary.streaming import live
@@ -26,6 +28,37 @@ def test_message_ttl(spark):
     assert {r.event_id for r in sessions.distinct_messages(df).collect()} == {1, 3, 4}
 
 
+def test_message_ttl_counts_from_the_last_kept(spark):
+    rows = [event(i, 1800 * i) for i in range(6)] + [event(10 + i, 600 * i, text="z") for i in range(40)] + [event(90, None), event(91, None), event(7, 0)]
+    got = sorted(r.event_id for r in sessions.distinct_messages(spark.createDataFrame(rows, KINDS)).collect())
+    assert got == [0, 2, 4, 10, 16, 22, 28, 34, 40, 46, 90, 91]
+
+
+def test_message_ttl_against_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [event(i, rng.randint(0, 90_000), text=rng.choice("abc")) for i in range(400)]
+    kept, want = {}, set()
+    for e in sorted(rows, key=lambda e: (e[2], e[0])):
+        last = kept.get(e[5])
+        if last is None or (e[2] - last).total_seconds() >= 3600:
+            kept[e[5]] = e[2]
+            want.add(e[0])
+    assert {r.event_id for r in sessions.distinct_messages(spark.createDataFrame(rows, KINDS)).collect()} == want
+
+
+def test_long_sessions_are_cut_into_parts(spark):
+    from recollary.operators import ingest
+
+    df = spark.createDataFrame([event(i, i * 20) for i in range(25)] + [event(100, 5000)], KINDS)
+    inside = sessions.idle_runs(df)
+    assert {(r.event_id, r.run_started) for r in inside.collect()} == {(i, T0) for i in range(25)} | {(100, T0 + timedelta(seconds=5000))}
+    runs = inside.withColumn("session_id", F.concat("session_id", F.lit("@"), F.unix_micros("run_started")))
+    talk = ingest.session_conversations(sessions.log_lines(runs), sessions.summaries(runs), most=10).collect()
+    assert sorted(r.assistant.count("**User:**") for r in talk) == [1, 5, 10, 10] and len({r.refs[0] for r in talk}) == 2 and len({r.user for r in talk}) == 4
+
+
 def test_hints(spark):
     rows = [event(1, 0, cwd="/srv/a"), event(2, 1, cwd="/srv/b/"), event(3, 2, project_id="p"), event(4, 3, project_id="q"), event(5, 0, session="t")]
     got = {r.session_id: (r.project_hint, r.confidence) for r in sessions.hints(spark.createDataFrame(rows, KINDS)).collect()}
