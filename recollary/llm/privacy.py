@@ -1,11 +1,13 @@
 """Personal information in free text: found, typed and replaced.
 
 One scan of every text yields structured identifiers (e-mail addresses, phone numbers, identity numbers,
-postal addresses) and candidate names. Which candidates are names is decided by information theory over
-the whole corpus: of every term it is counted how often it stands in a protected context (an e-mail
-address's local part, a form's name field, an author line, a title or honorific) and how often in any
-candidate; terms whose pointwise mutual information with the protected contexts exceeds the disclosure
-threshold reveal persons, and candidates made of such terms are removed.
+postal addresses) by their forms, and candidate names. Which candidates are names, and which other words
+give persons away, is decided by information theory over the whole corpus: of every term it is counted how
+often it stands in a protected context (an e-mail address's local part, a form's name field, an author
+line, a title or honorific) and how often at all; terms whose pointwise mutual information with the
+protected contexts, or whose share in them, exceeds the disclosure threshold reveal persons. Names made of
+such terms are removed wherever they stand, in and out of those contexts; a lone word that reveals a person
+by itself is generalised.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from recollary.session import cut
 TYPES = ["email", "phone", "id_number", "address", "name"]
 # a term with this share of its occurrences in protected contexts discloses persons whatever the base rate
 SHARE = 0.3
+# of Han and kana terms every occurrence in the corpus counts, not only candidates, so their share is less
+WIDE_SHARE = 0.1
+# a lone word with this share of all its occurrences in protected contexts is generalised
+ALONE_SHARE = 0.5
 
 # -- structured identifiers ----------------------------------------------------------------------
 
@@ -30,7 +36,7 @@ AT = r"(?:[ ]?@[ ]?|%40|[ ]?\[at\][ ]?|[ ]?\(at\)[ ]?|[ ]AT[ ])"
 DOT = r"(?:\.|[ ]?\(dot\)[ ]?|[ ]?\[dot\][ ]?|[ ]DOT[ ])"
 EMAIL = re.compile(rf"(?<![\w.+%-])([A-Za-z0-9][A-Za-z0-9._+-]*){AT}([A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{DOT}[A-Za-z0-9-]+)*{DOT}[A-Za-z]{{2,}})(?![A-Za-z0-9])")
 EMAIL_SIGN = re.compile(r"@|%40|\[at\]|\(at\)| AT ")
-EMAIL_SPAN = 160  # longer ones are no addresses
+EMAIL_SPAN = 320  # an address is no longer: 64 signs, the @ and a domain of 253
 
 # What introduces a person's number, by language.
 ID_WORDS = (
@@ -141,14 +147,15 @@ ADDRESSES = [(signs, re.compile(pattern)) for signs, pattern in ADDRESSES]
 # -- names ----------------------------------------------------------------------------------------
 
 CAP = r"[A-ZÀ-Þ](?:[a-zß-ÿ'’]+(?:-?[A-ZÀ-Þ][a-zß-ÿ]+)?|[A-ZÀ-Þ'’-]+)"
-PAIR = re.compile(rf"(?<![\w@.+-])({CAP})(?=(,?[ \t  　\n]{{1,2}}(?:[A-Z]\.[ \t  　\n]{{1,2}})?)({CAP})(?![\w@+]))")
+PARTICLE = r"(?:(?:d[aeio]s?|du|del|de la|de los|van|von|van der|van den|zu|ter|ten|la|le|y|e|bin|al)[ ])"
+PAIR = re.compile(rf"(?<![\w@.+-])({CAP})(?=(,?[ \t  　\n]{{1,2}}(?:[A-Z]\.[ \t  　\n]{{1,2}}|{PARTICLE})?)({CAP})(?![\w@+]))")
 # contexts that make what follows a person's name
 BEFORE = re.compile(r"(?:\"(?:full_?name|name|ne|author|owner|contact)\"\s*:\s*\"|\bAuthor:\s|\breviewed-by:\s|\bassignee=|\bowner=|\bDr\.\s|\bMrs?\.\s|\bMs\.\s|\bProf\.\s|\bHerr\s|\bFrau\s|\bSra?\.\s|\bMme\s)$")
 HAN = r"[一-鿿々]"
 NAME_JA = re.compile(r"(?:前に|は先週|先週|担当者?[はの])([一-鿿々][一-鿿々ヶケノ之]{1,3})([ 　]?)([一-鿿々ぁ-んァ-ヶー]{2,4}?)(?=さん|様|氏|が(?:書き|作成し|担当し|更新し)ました)")
 NAME_ZH = re.compile(r"(?:由|先问|请问|联系|询问|咨询|告诉)([一-鿿]{2,4}?)(?=写的|写成|负责|[。，！,\s]|先生|女士)")
 # a cell, value or line that is nothing but a short Han or kana string
-ALONE = re.compile(r"(?:(?<=[\n|\":：=;])|^)[ ]?([一-鿿々][一-鿿々ヶノ]{0,3}[ 　]?[一-鿿々ぁ-んァ-ヶ]{1,4})[ ]?(?=[\n|\",;]|$)")
+ALONE = re.compile(r"(?:(?<=[\n|\":：=;])|^)[ ]?([一-鿿々][一-鿿々ヶノ]{0,3}[ 　]?(?:[一-鿿々]{1,4}|[一-鿿々]{0,3}[ぁ-んァ-ヶ]{1,4}))[ ]?(?=[\n|\",;]|$)")
 WIDE = re.compile(r"[一-鿿]")
 
 
@@ -168,7 +175,7 @@ def scan(text: str) -> list[tuple[str, int, int, list[str], bool]]:
     taken: list[tuple[int, int]] = []
     for sign in EMAIL_SIGN.finditer(text):
         for m in EMAIL.finditer(text, max(0, sign.start() - EMAIL_SPAN), sign.end() + EMAIL_SPAN):
-            if not m.start() < sign.start() < m.end() or m.span() in taken or " AT " in m[0] and " DOT " not in m[0] or len(m[2]) > 80:
+            if not m.start() < sign.start() < m.end() or m.span() in taken or " AT " in m[0] and " DOT " not in m[0] or len(m[1]) > 64 or len(m[2]) > 253:
                 continue
             words = [w for w in re.split(r"[._\d-]+", m[1].partition("+")[0].lower()) if len(w) > 2]
             found.append(("email", m.start(), m.end(), words, True))
@@ -227,6 +234,28 @@ def candidates(items: DataFrame, keys: list[str], text: str) -> DataFrame:
     return rows.mapInPandas(run, f"{kinds}, {SPANS}").select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "type", "start", "stop", "terms", "protected")
 
 
+RUNS = r"[\u4e00-\u9fff々ヶノ]{2,}"
+
+
+def wide_terms(items: DataFrame, keys: list[str], text: str, wanted: DataFrame) -> DataFrame:
+    """The keys, term, n of the wanted terms (^ and two or three signs) in each text, wherever they stand in it."""
+    runs = items.where(F.col(text).rlike("[\u4e00-\u9fff]")).select(*keys, F.explode(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0))).alias("run"))
+    part = lambda size: F.transform(F.sequence(F.lit(1), F.length("run") - (size - 1)), lambda i: F.substring(F.col("run"), i, F.lit(size)))
+    parts = F.when(F.length("run") > 2, F.concat(part(2), part(3))).otherwise(F.array("run"))
+    bare = wanted.select(F.substring("term", 2, 3).alias("part"))
+    return runs.select(*keys, F.explode(parts).alias("part")).join(bare, "part").groupBy(*keys, F.concat(F.lit("^"), "part").alias("term")).agg(F.count("*").alias("n"))
+
+
+def names_of_terms(text: str, terms: list[str], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of full names that begin with one of the terms (Han or kana surnames), outside the taken spans."""
+    found = []
+    for term in sorted(terms, key=len, reverse=True):
+        for m in re.finditer(rf"{re.escape(term[1:])}(?:[一-鿿々]{{1,{5 - len(term[1:])}}}|[ 　][一-鿿々ぁ-んァ-ヶ]{{1,3}})", text):
+            if all(m.end() <= a or m.start() >= b for a, b in (*taken, *found)):
+                found.append(m.span())
+    return found
+
+
 def disclosure(found: DataFrame, smoothing: float = 1.0) -> DataFrame:
     """term, bits, share: pointwise mutual information of each term with the protected contexts, and the share
     of its occurrences that are in one.
@@ -243,43 +272,89 @@ def disclosure(found: DataFrame, smoothing: float = 1.0) -> DataFrame:
 def personal_information(items: DataFrame, keys: list[str], text: str = "content", threshold: float = 0.0) -> DataFrame:
     """The keys, type, start, stop of each span of personal information; start and stop in code points.
 
-    A candidate name is one if all its terms (for Han and kana: any leading part) disclose more than
-    threshold bits about protected contexts, or stand in one at least three times in ten, which decides where
-    nearly all of a small corpus is protected. Rows of equal keys give equal spans once. Null, empty texts
-    and texts without finds have no rows. Spans of different types may overlap.
+    A candidate name is one if all its terms disclose more than threshold bits about protected contexts, or
+    stand in one at least three times in ten, which decides where nearly all of a small corpus is protected.
+    Han and kana names have no capitals that make candidates: a leading part of a name in a protected
+    context that is in one in a tenth of all its occurrences in the corpus is a surname, and a name begins
+    wherever it stands. Rows of equal keys give equal spans once. Null, empty texts and texts without finds
+    have no rows. Spans of different types may overlap.
     """
     found = cut(candidates(items, keys, text).distinct())
-    bits = disclosure(found).where((F.col("bits") > threshold) | (F.col("share") >= SHARE)).select("term")
+    return spans_of(found, items, keys, text, threshold)
+
+
+def spans_of(found: DataFrame, items: DataFrame, keys: list[str], text: str, threshold: float) -> DataFrame:
+    names = [f"k{i}" for i in range(len(keys))]
+    bits = disclosure(found)
+    narrow = bits.where(~F.col("term").startswith("^") & ((F.col("bits") > threshold) | (F.col("share") >= SHARE))).select("term")
     sure = found.where("type <> 'name?'").select(*keys, "type", "start", "stop")
     open_names = found.where("type = 'name?'").select(*keys, "start", "stop", F.col("terms").alias("t"), F.explode("terms").alias("term"))
-    telling = open_names.join(bits, "term").groupBy(*keys, "start", "stop", "t").agg(F.count("*").alias("n"))
-    wide = F.get("t", F.lit(0)).startswith("^")
-    names = telling.where(wide | (F.col("n") >= F.size(F.array_distinct("t")))).select(*keys, F.lit("name").alias("type"), "start", "stop")
-    return sure.unionByName(names).distinct()
+    telling = open_names.join(narrow, "term").groupBy(*keys, "start", "stop", "t").agg(F.count("*").alias("n"))
+    western = telling.where(F.col("n") >= F.size(F.array_distinct("t"))).select(*keys, F.lit("name").alias("type"), "start", "stop")
+    # Han and kana: every occurrence of the terms of protected names is counted, then looked up in its text
+    texts = items.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(text).alias("body")).where("body is not null").distinct()
+    stated = found.where("type = 'name?' and protected").select(F.explode("terms").alias("term")).where(F.col("term").startswith("^")).groupBy("term").agg(F.count("*").alias("c"))
+    held = cut(wide_terms(texts, names, "body", stated))
+    counted = held.groupBy("term").agg(F.sum("n").alias("n"))
+    surnames = stated.join(counted, "term", "left").where(F.col("c") / (F.greatest(F.coalesce("n", F.lit(0)), F.col("c")) + 1) >= WIDE_SHARE).select("term")
+    wide = open_names.where(F.col("term").startswith("^")).join(surnames, "term").select(*keys, F.lit("name").alias("type"), "start", "stop")
+    asked = held.join(surnames, "term", "left_semi").groupBy(*names).agg(F.collect_set("term").alias("terms"))
+    blocked = found.where("type = 'address'").groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.collect_set(F.struct("start", "stop")).alias("taken"))
+    kinds = ", ".join(f"{n} {texts.schema[n].dataType.simpleString()}" for n in names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for row in batch.itertuples(index=False, name=None):
+                taken = [(s["start"], s["stop"]) for s in (row[-1] if row[-1] is not None else [])]
+                made += [(*row[: len(names)], a, b) for a, b in names_of_terms(row[-3], list(row[-2]), taken)]
+            yield pd.DataFrame(made, columns=[*names, "start", "stop"])
+
+    looked = texts.join(asked, names).join(blocked, names, "left").select(*names, "body", "terms", "taken").mapInPandas(run, f"{kinds}, start int, stop int")
+    anywhere = looked.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], F.lit("name").alias("type"), "start", "stop")
+    return sure.unionByName(western).unionByName(wide).unionByName(anywhere).distinct()
+
+
+def lone_terms(found: DataFrame, items: DataFrame, keys: list[str], text: str, share: float = ALONE_SHARE) -> DataFrame:
+    """The keys, lone: the words of each text that give a person away by themselves: those that are in a protected
+    context in at least that share of all their occurrences in the corpus, whatever their case, and twice at least."""
+    terms = found.where("type in ('name?', 'email')").select("protected", F.explode("terms").alias("term")).where(~F.col("term").startswith("^"))
+    stated = terms.groupBy("term").agg(F.count_if("protected").alias("c")).where("c > 1")
+    words = items.select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("term"))
+    held = words.join(stated.select("term"), "term", "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    counted = held.groupBy("term").agg(F.sum("n").alias("n")).join(stated, "term").where(F.col("c") / (F.col("n") + 1) >= share).select("term")
+    return held.join(counted, "term", "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_set("term")).alias("lone"))
 
 
 def redact(items: DataFrame, keys: list[str], text: str = "content", threshold: float = 0.0) -> DataFrame:
-    """The keys, redacted, found (sorted types) of every row; overlapping spans become one placeholder.
+    """The keys, redacted, found (sorted types), generalised (words) of every row.
 
-    Rows without finds keep their text; null texts stay null. keys must identify a text.
+    Overlapping spans become one placeholder, [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME]; a lone word
+    that gives a person away (see lone_terms) becomes the more general [PERSON]. Rows without finds keep
+    their text; null texts stay null. keys must identify a text.
     """
-    spans = personal_information(items, keys, text, threshold).groupBy(*keys).agg(F.collect_list(F.struct("start", "stop", "type")).alias("spans"))
-    rows = items.select(*keys, F.col(text).alias("body")).dropDuplicates(keys).join(spans, keys, "left")
+    found = cut(candidates(items, keys, text).distinct())
+    spans = spans_of(found, items, keys, text, threshold).groupBy(*keys).agg(F.collect_list(F.struct("start", "stop", "type")).alias("spans"))
+    lone = lone_terms(found, items, keys, text)
+    rows = items.select(*keys, F.col(text).alias("body")).dropDuplicates(keys).join(spans, keys, "left").join(lone, keys, "left")
 
     @F.pandas_udf("string")
-    def replace(bodies: pd.Series, all_spans: pd.Series) -> pd.Series:
+    def replace(bodies: pd.Series, all_spans: pd.Series, all_lone: pd.Series) -> pd.Series:
         made = []
-        for body, spans in zip(bodies, all_spans):
-            if body is None or spans is None or not len(spans):
+        for body, spans, lone in zip(bodies, all_spans, all_lone):
+            if body is None:
                 made.append(body)
                 continue
+            words = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, lone)) + r")(?!\w)", re.IGNORECASE) if lone is not None and len(lone) else None
+            general = lambda part: words.sub("[PERSON]", part) if words else part
             parts, at = [], 0
-            for s in sorted(spans, key=lambda s: (s["start"], -s["stop"])):
+            for s in sorted(spans if spans is not None else [], key=lambda s: (s["start"], -s["stop"])):
                 if s["start"] >= at:
-                    parts += [body[at : s["start"]], f"[{s['type'].upper()}]"]
+                    parts += [general(body[at : s["start"]]), f"[{s['type'].upper()}]"]
                 at = max(at, s["stop"])
-            made.append("".join(parts) + body[at:])
+            made.append("".join(parts) + general(body[at:]))
         return pd.Series(made)
 
     types = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["type"])))
-    return rows.select(*keys, replace("body", "spans").alias("redacted"), F.coalesce(types, F.array().cast("array<string>")).alias("found"))
+    none = F.array().cast("array<string>")
+    return rows.select(*keys, replace("body", "spans", "lone").alias("redacted"), F.coalesce(types, none).alias("found"), F.coalesce("lone", none).alias("generalised"))

@@ -86,3 +86,29 @@ def test_long_text_and_repeats(spark):
     df = spark.createDataFrame([("a", "x " * 200_000 + "a@b.org"), ("a", "x " * 200_000 + "a@b.org"), ("r", "Call 808.555.0131, not 808.555.0132")], "id string, content string")
     got = privacy.personal_information(df, ["id"]).collect()
     assert sorted((r.id, r.type) for r in got) == [("a", "email"), ("r", "phone"), ("r", "phone")]
+
+
+def test_wide_names_in_any_sentence(spark):
+    rows = [(f"p{i}", f"会議の前に田中太{c}さんに聞く。") for i, c in enumerate("郎一次")] + [(f"q{i}", f"请联系欧阳砚{c}先生") for i, c in enumerate("秋书墨")]
+    rows += [("a", "それは田中太郎に確認した"), ("b", "昨日、田中 花子が来た"), ("c", "后来欧阳书墨已经确认"), ("d", "田中の件"), ("e", "昨日は東京に行った"), ("f", "他去了北京")]
+    found = {(r.id, r.type) for r in privacy.personal_information(spark.createDataFrame(rows, "id string, content string"), ["id"]).collect()}
+    assert {i for i, t in found if t == "name"} == {f"{x}{i}" for x in "pq" for i in range(3)} | {"a", "b", "c"}
+
+
+def test_common_words_are_no_surnames(spark):
+    # in a protected context once, everywhere else in the corpus as a plain word
+    rows = [("x", "请联系系统管理先生")] + [(f"n{i}", f"系统管理页面第{i}次更新，系统管理已经关闭") for i in range(20)]
+    found = privacy.personal_information(spark.createDataFrame(rows, "id string, content string"), ["id"])
+    assert found.count() == 0
+
+
+def test_names_with_particles_and_long_addresses(spark):
+    rows = [(f"p{i}", "Author: Ana Silva") for i in range(3)] + [("a", "falei com Ana da Silva ontem"), ("b", "x" * 60 + "@" + ".".join(["d" * 60] * 3) + ".org")]
+    found = {(r.id, r.type, r.start, r.stop) for r in privacy.personal_information(spark.createDataFrame(rows, "id string, content string"), ["id"]).collect()}
+    assert ("a", "name", 10, 22) in found and ("b", "email", 0, 247) in found
+
+
+def test_lone_words_are_generalised(spark):
+    rows = [(f"p{i}", "Author: Edda Solberg") for i in range(4)] + [("a", "ask solberg, then Solberg's host"), ("b", "The Count said count 1 to count 9"), ("c", "Dr. Count Error"), ("d", "Dr. Count Error")]
+    got = {r.id: (r.redacted, r.generalised) for r in privacy.redact(spark.createDataFrame(rows, "id string, content string"), ["id"]).collect()}
+    assert got["a"] == ("ask [PERSON], then [PERSON]'s host", ["solberg"]) and got["b"][0] == rows[5][1] and got["p0"][0].endswith("[NAME]")
