@@ -21,7 +21,7 @@ from recollary.session import cut
 
 DEGREE, BEAM, EXPAND, ALPHA = 16, 24, 4, 1.2
 # vectors a cell on average; cells at most; vectors that one task holds; sampled vectors a cell; cells fitted at once
-CELL, MAX_CELLS, MAX_SHARD, PER_CELL, TOP_CELLS = 512, 65_536, 16_384, 24, 2048
+CELL, MAX_CELLS, MAX_SHARD, PER_CELL, TOP_CELLS = 256, 65_536, 16_384, 24, 2048
 BLOCK = 1024
 
 
