@@ -193,3 +193,15 @@ def test_matching(spark):
     assert found({"n": {"$ne": 1}}) == ["b", "d"] and found({"tags": {"$ne": "x"}}) == ["c", "d"]
     assert tables.prepared_filters(None, None, with_summaries=True) is None
     assert found(tables.prepared_filters({"n": 1}, {"n": 2, "tags": "x"})) == [] and found(tables.prepared_filters({"n": 1})) == ["c"]
+
+
+def test_bm25_from_a_stored_index(spark, tmp_path):
+    rows = [(f"d{i}", " ".join(random.Random(i).choices(["queue", "stall", "Vault", "batch", "note"], k=i % 9))) for i in range(60)] + [("e", ""), ("n", None)]
+    docs = spark.createDataFrame(rows, "chunk_id string, content string")
+    asked = spark.createDataFrame([(1, "vault queue queue"), (2, "nothing"), (3, None)], "query_id long, query string")
+    bm25.postings(docs, "chunk_id", "content").write.parquet(f"{tmp_path}/postings")
+    bm25.document_frequencies(docs, "content").write.parquet(f"{tmp_path}/frequencies")
+    stored = bm25.search(docs.limit(0), asked, 10, index=spark.read.parquet(f"{tmp_path}/postings"), frequencies=spark.read.parquet(f"{tmp_path}/frequencies"))
+    read = lambda df: [(r.query_id, r.chunk_id, round(r.score, 9), r["rank"]) for r in df.orderBy("query_id", "rank").collect()]
+    assert read(stored) == read(bm25.search(docs, asked, 10)) and len(read(stored)) == 10
+    assert bm25.statistics(bm25.document_frequencies(docs, "content")).first().n_docs == 62
