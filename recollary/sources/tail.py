@@ -62,8 +62,13 @@ class TailReader(DataSourceStreamReader):
     def read(self, partition: Span) -> Iterator[tuple[str, str]]:
         with open(partition.path, "rb") as f:
             f.seek(partition.start)
-            for line in f.read(partition.end - partition.start).decode("utf-8", "replace").splitlines():
-                yield partition.path, line
+            left = partition.end - partition.start
+            while left > 0:  # a line at a time; only a line feed ends one
+                line = f.readline(left)
+                if not line:
+                    break
+                left -= len(line)
+                yield partition.path, line.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
 
 
 class TailSource(DataSource):

@@ -129,3 +129,14 @@ def test_tail_source_follows_appended_lines(spark, tmp_path):
         assert sorted(wait(4)) == ["one", "partial", "three", "two"]
     finally:
         query.stop()
+
+
+def test_tail_reads_lines_by_line_feeds_only(tmp_path):
+    from recollary.sources.tail import Span, TailReader
+
+    path = tmp_path / "a.log"
+    path.write_bytes("one\u2028still one\x0c\r\ntwo\n\nthree".encode())
+    reader = TailReader(str(tmp_path))
+    (span,) = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert [v for _, v in reader.read(span)] == ["one\u2028still one\x0c", "two", ""]
+    assert list(reader.read(Span(str(path), 0, 0))) == []
