@@ -72,8 +72,9 @@ def units(text: str, max_tokens: int, max_chars: int) -> list[tuple[int, int, fl
             while not fits(text, a, b, max_tokens, max_chars):  # one sentence or line beyond the limit
                 c = min(b, a + max_chars)
                 words = list(WORD.finditer(text, a, c))
-                if len(words) > int(max_tokens * 0.75):
-                    c = words[int(max_tokens * 0.75)].start()
+                most = max(1, int(max_tokens * 0.75))  # a token is a word
+                if len(words) > most:
+                    c = words[most].start()
                 elif c < b and words and words[-1].end() == c and words[-1].start() > a:
                     c = words[-1].start()
                 if c <= a:
@@ -158,7 +159,7 @@ def pieces(text: str, max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CHARS,
     overlap = min(overlap, max_chars // 2)
     # words that an overlap may hold, so that the rest of a piece leaves room for it
     room = min(max_tokens // 4, overlap)
-    body_tokens, body_chars = max_tokens - room - 2, max_chars - overlap
+    body_tokens, body_chars = max(1, max_tokens - room - 2), max_chars - overlap
     parts = units(text, body_tokens, body_chars)
     words = np.array([len(text[a:b].split()) for a, b, _ in parts])
     strength = np.array([s for _, _, s in parts])

@@ -36,6 +36,12 @@ def test_any_text(text, max_tokens, max_chars, overlap):
     check(text, max_tokens, max_chars, min(overlap, max_chars // 2))
 
 
+def test_limits_of_few_tokens():
+    for text in ("` ` ` `", "a b c d e f g h", "a  b. c\n\nd e f"):
+        for max_tokens in range(1, 12):
+            check(text, max_tokens, 10, 1)
+
+
 def test_cuts_at_headings_and_topics():
     a = "The queue stalls when the worker restarts. " * 30
     b = "Bread needs flour and water and salt. " * 30
