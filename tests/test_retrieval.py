@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,36 @@ def test_similar_pairs_are_exact(spark, cell, block, scale):
     assert got == want
 
 
+def shuffled(spark):
+    """Bytes that the session has shuffled."""
+    told = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(told.apply(i).totalShuffleWrite() for i in range(told.size()))
+
+
+def test_similar_pairs_of_vectors_far_apart(spark):
+    x = np.random.default_rng(3).normal(size=(6000, 64)).astype(np.float32)
+    x[1::2] = x[::2] + np.random.default_rng(4).normal(scale=0.2, size=(3000, 64)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(6000), "v": list(x)}), "id long, v array<float>").repartition(4).cache()
+    df.count()
+    before = shuffled(spark)
+    found = vectors.similar_pairs(df, "id", "v", 64, 0.9, cell=100)
+    got = {(r.a, r.b) for r in found.collect()}
+    moved = shuffled(spark) - before
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    assert got == set(zip(*np.nonzero(np.triu(unit @ unit.T >= 0.9, 1)))) and len(got) > 2900
+    assert moved < 6 * x.nbytes  # however many vectors each has to meet
+
+
+def test_similar_pairs_sent_in_turn(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PART", 100)
+    x = grouped_vectors(1200, 32, 2)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.9, 1))) if 5 not in (i, j)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    got = [(r.a, r.b) for r in vectors.similar_pairs(df, "id", "v", 32, 0.9, cell=128, block=64, sent=300).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def plain_leaders(n, edges):
     near = {i: set() for i in range(n)}
     for a, b in edges:
