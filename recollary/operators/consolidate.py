@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollary.functions.scoring import seconds
-from recollary.operators.vectors import members, similar_pairs
+from recollary.operators.vectors import distinct_vectors, members, pairs_of, printed
 from recollary.session import cut
 
 
@@ -47,10 +47,10 @@ def leader_clusters(items: DataFrame, order: str = "insert_seq", vector: str = "
     """id, leader (both by the order column, a unique number) of every usable vector; alone, it leads itself.
 
     Equal vectors are compared once and share their leader. Nulls and unusable vectors have no row."""
-    usable = cut(members(items, order, vector, size))
-    pairs = similar_pairs(usable, "id", "v", size, threshold)
-    copies = usable.join(usable.groupBy("v").agg(F.min("id").alias("first")), "v")
-    led = leaders(pairs)
+    usable = cut(printed(members(items, order, vector, size)))
+    distinct = distinct_vectors(usable)
+    copies = usable.select("id", "print").join(distinct.select("print", F.col("id").alias("first")), "print")
+    led = leaders(pairs_of(distinct, size, threshold))
     return copies.join(led.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
 
 
