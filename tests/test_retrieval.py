@@ -53,6 +53,21 @@ def test_nearest_in_blocks(spark):
     assert rows() == rows(block=7) and len(rows()) == 150
 
 
+def test_nearest_of_sizes_ties_and_many_rows(spark):
+    x = np.random.default_rng(6).normal(size=(9000, 16)).astype(np.float32)
+    x[3000:6000] = x[:3000]  # every one of these twice
+    x[7000:9000] = x[10]  # many equal ones
+    rows = [(f"{i:05d}", v.tolist()) for i, v in enumerate(x)] + [("short", [1.0, 2.0])]
+    base = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(3)
+    asked = [(1, x[0]), (2, x[10]), (3, x[20] + x[30]), (4, [1.0, 2.0]), (5, [1.0])]
+    queries = spark.createDataFrame([(q, [float(e) for e in v]) for q, v in asked], "query_id long, query_vector array<float>")
+    rows = lambda **o: [(r.query_id, r.rank, r.id, round(r.similarity, 9)) for r in vectors.nearest(base, queries, 40, "id", **o).orderBy("query_id", "rank").collect()]
+    got = rows()
+    assert got == rows(where=F.lit(True)) and len(got) == 200
+    plan = vectors.nearest(base, queries, 40, "id")._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan  # no pair of a row and a query is a row
+
+
 def grouped_vectors(n, size, seed):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(n // 4, size))
