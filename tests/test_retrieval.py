@@ -153,6 +153,17 @@ def test_leader_clusters_fixture(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
+def test_leader_clusters_of_vectors_far_apart(spark):
+    x = np.random.default_rng(8).normal(size=(6000, 64)).astype(np.float32)
+    x[1::2] = x[::2]  # copies
+    df = spark.createDataFrame(pd.DataFrame({"insert_seq": range(6000), "embedding": list(x)}), "insert_seq long, embedding array<float>").repartition(4).cache()
+    df.count()
+    before = shuffled(spark)
+    got = {r.id: r.leader for r in consolidate.leader_clusters(df).collect()}
+    assert got == {i: i // 2 * 2 for i in range(6000)}
+    assert shuffled(spark) - before < 4 * x.nbytes
+
+
 def candidates(spark, rows):
     at = datetime(2025, 1, 1)
     full = [(1, e, m, k, c, s, m or "p", "t", "chat", at + timedelta(hours=i), 10) for i, (e, m, k, c, s) in enumerate(rows)]
