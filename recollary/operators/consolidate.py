@@ -43,39 +43,42 @@ def leaders(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return state.join(led, state["id"] == led["later"], "left").select("id", F.when(F.col("state") == "leader", F.col("id")).otherwise(F.col("leader")).alias("leader"))
 
 
-def leader_clusters(items: DataFrame, order: str = "insert_seq", vector: str = "embedding", size: int = 64, threshold: float = 0.9) -> DataFrame:
+def leader_clusters(items: DataFrame, order: str = "insert_seq", vector: str = "embedding", size: int = 64, threshold: float = 0.9, unique: bool = False) -> DataFrame:
     """id, leader (both by the order column, a unique number) of every usable vector; alone, it leads itself.
 
-    Equal vectors are compared once and share their leader. Nulls and unusable vectors have no row."""
-    usable = cut(printed(members(items, order, vector, size)))
+    Equal vectors are compared once and share their leader. Nulls and unusable vectors have no row.
+    unique: each number is known to occur once (see members)."""
+    usable = cut(printed(members(items, order, vector, size, unique)))
     distinct = distinct_vectors(usable)
     copies = usable.select("id", "print").join(distinct.select("print", F.col("id").alias("first")), "print")
     led = leaders(pairs_of(distinct, size, threshold))
     return copies.join(led.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
 
 
-def clustered(memories: DataFrame, chunks: DataFrame, size: int = 64, threshold: float = 0.9) -> DataFrame:
-    """Memories with cluster: the insert_seq of their leader, by the vectors of their first chunks.
+def clusters(memories: DataFrame, chunks: DataFrame, size: int = 64, threshold: float = 0.9) -> DataFrame:
+    """insert_seq, cluster (the insert_seq of the leader) of memories, by the vectors of their first chunks.
 
-    A memory without a usable vector is in no cluster (null); alone with one, it is its own."""
+    A memory without a usable vector has no row; alone with one, it is its own."""
     first = chunks.where(F.col("embedding").isNotNull()).groupBy("memory_id").agg(F.min_by("embedding", F.struct("chunk_index", "chunk_id")).alias("_v"))
-    placed = memories.select("memory_id", "insert_seq").join(first, "memory_id")
-    led = leader_clusters(placed, "insert_seq", "_v", size, threshold).select(F.col("id").alias("insert_seq"), F.col("leader").cast("string").alias("cluster"))
-    return memories.join(led, "insert_seq", "left")
+    placed = memories.select("memory_id", "insert_seq").dropDuplicates(["insert_seq"]).join(first, "memory_id")
+    led = leader_clusters(placed, "insert_seq", "_v", size, threshold, unique=True)
+    return led.select(F.col("id").alias("insert_seq"), F.col("leader").cast("string").alias("cluster"))
 
 
-def score_of_representative(as_of: Column) -> Column:
+def score_of_representative(as_of: Column, length: Column | None = None) -> Column:
     """0.5 x content length + 300 x recency by days + 200 x importance."""
     days = F.floor(seconds(as_of, "created_at") / 86400)
     fresh = F.when(F.col("created_at").isNull(), 0.5).otherwise(1 / (1 + F.greatest(F.lit(0), days)))
-    return 0.5 * F.length(F.coalesce("content", F.lit(""))) + 300 * fresh + 200 * F.coalesce("importance", F.lit(0.5))
+    length = F.length("content") if length is None else length
+    return 0.5 * F.coalesce(length, F.lit(0)) + 300 * fresh + 200 * F.coalesce("importance", F.lit(0.5))
 
 
-def representatives(memories: DataFrame, cluster: Column, as_of: Column, least: int = 2) -> DataFrame:
+def representatives(memories: DataFrame, cluster: Column, as_of: Column, least: int = 2, length: Column | None = None) -> DataFrame:
     """cluster, memory_id (the representative), cluster_size, of clusters of at least `least` memories.
 
-    By partial aggregation: no cluster is collected, whatever its size. Ties go to the first inserted."""
-    best = F.max(F.struct(F.round(score_of_representative(as_of), 9).alias("s"), (-F.col("insert_seq")).alias("o"), "memory_id"))
+    By partial aggregation: no cluster is collected, whatever its size. Ties go to the first inserted.
+    length: of the content, where a column has it already."""
+    best = F.max(F.struct(F.round(score_of_representative(as_of, length), 9).alias("s"), (-F.col("insert_seq")).alias("o"), "memory_id"))
     rows = memories.withColumn("cluster", cluster).where("cluster is not null")
     return rows.groupBy("cluster").agg(best.alias("b"), F.count("*").alias("cluster_size")).where(F.col("cluster_size") >= least).select("cluster", "b.memory_id", "cluster_size")
 
@@ -107,23 +110,34 @@ def forget(memories: DataFrame, chunks: DataFrame, as_of: Column) -> tuple[DataF
     return memories.where(~forgettable(as_of)), chunks.join(gone, "memory_id", "left_anti")
 
 
-def consolidate(memories: DataFrame, chunks: DataFrame, as_of: Column, cluster: Column | None = None, size: int = 64, threshold: float = 0.9) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: what clusters, representatives, marks and counts need of a memory
+NEEDED = ["memory_id", "insert_seq", "created_at", "importance", "migrated_at", "cluster_id", "cluster_size", "is_compressed", "compressed_at"]
+
+
+def consolidate(memories: DataFrame, chunks: DataFrame, as_of: Column, cluster: Column | None = None, size: int = 64, threshold: float = 0.9, length: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """migrate, cluster, mark representatives, compress, forget: the new memories and chunks, and a row of counts.
 
     Clusters are those of leaders by similarity, unless a column names them. clusters_created counts those of
-    one memory too; only clusters of two or more get a representative."""
+    one memory too; only clusters of two or more get a representative. Everything is decided and counted
+    without the contents, of which only the length counts (see representatives); the memories are marked when
+    they are read."""
     moved = migrate(memories, as_of)
-    grouped = cut(clustered(moved, chunks, size, threshold) if cluster is None else moved.withColumn("cluster", cluster))
+    length = F.length("content") if length is None else length
     own = F.col("cluster")
-    chosen = representatives(grouped, own, as_of)
-    marked = cut(mark(grouped, chosen, own, as_of))
-    created = grouped.agg(F.count_distinct("cluster").alias("clusters_created"))
-    stats = marked.crossJoin(F.broadcast(created)).agg(
+    slim = cut(moved.select(*NEEDED, length.alias("_length"), *([] if cluster is None else [cluster.alias("cluster")])))
+    if cluster is None:
+        led = cut(clusters(slim, chunks, size, threshold))
+        slim, grouped = slim.join(led, "insert_seq", "left"), moved.join(led, "insert_seq", "left")
+    else:
+        grouped = moved.withColumn("cluster", cluster)
+    chosen = cut(representatives(slim, own, as_of, length=F.col("_length")))
+    created = slim.agg(F.count_distinct("cluster").alias("clusters_created"))
+    stats = mark(slim, chosen, own, as_of).crossJoin(F.broadcast(created)).agg(
         F.count_if((F.col("migrated_at") == as_of)).alias("migrated"),
         F.coalesce(F.max("clusters_created"), F.lit(0)).alias("clusters_created"),
         F.count_if("is_representative").alias("clusters"),
         F.count_if(F.col("compressed_at") == as_of).alias("compressed"),
         F.count_if(forgettable(as_of)).alias("forgotten"),
     )
-    kept, rest = forget(marked, chunks, as_of)
+    kept, rest = forget(mark(grouped, chosen, own, as_of), chunks, as_of)
     return kept, rest, stats

@@ -73,7 +73,8 @@ placed AS (SELECT *, count(*) OVER (PARTITION BY leader) AS members, {DUE} AS du
 SELECT count(*) FILTER (due OR now) AS migrated, count(DISTINCT leader) AS clusters_created, count(DISTINCT leader) FILTER (members >= 2) AS clusters,
 count(*) FILTER (leader IS NOT NULL AND members >= 2) - count(DISTINCT leader) FILTER (members >= 2) AS compressed, count(*) FILTER (old) AS forgotten FROM placed""")
 def consolidation_stats(spark: SparkSession, d: str) -> DataFrame:
-    return consolidate.consolidate(base.memories(spark, d), base.chunks(spark, d), base.as_of())[2]
+    memories = base.memories(spark, d, content_length=F.length("content"))
+    return consolidate.consolidate(memories, base.chunks(spark, d), base.as_of(), length=F.col("content_length"))[2]
 
 
 @query(f"WITH {MEM} SELECT coalesce(memory_type, 'unknown') AS memory_type, count(*) AS n, round(avg(coalesce(strength, 0.5)), 6) AS mean_strength FROM mem GROUP BY 1")

@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -65,3 +66,31 @@ def test_consolidation_clusters_by_vectors(spark):
     assert (stats.first().clusters_created, stats.first().clusters, stats.first().compressed) == (2, 1, 1)
     got = {r.memory_id: (r.cluster_id, r.is_representative) for r in kept.collect()}
     assert got["a"] == got["a"][:1] + (False,) and got["b"] == ("cluster-b", True) and got["a"][0] == "cluster-b" and got["c"] == ("stale", False) and got["d"] == ("stale", False)
+
+
+def shuffled(spark):
+    """Bytes that the session has shuffled."""
+    told = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(told.apply(i).totalShuffleWrite() for i in range(told.size()))
+
+
+def test_consolidation_is_counted_without_moving_contents(spark, tmp_path):
+    from recollary.plans import catalogue
+
+    df = memories(spark, [(f"m{i:03d}", "working", None, 0.5, i % 50, None) for i in range(400)])
+    long = F.concat_ws("", *[F.sha2(F.concat("memory_id", F.lit(f"-{k}")), 512) for k in range(100)])  # 12,800 signs
+    df.withColumn("content", long).withColumn("ingested_at", F.lit(NOW)).repartition(4).write.parquet(f"{tmp_path}/memories.parquet")
+    vector = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (j == F.col("insert_seq") % 64).cast("float"))
+    df.select("memory_id", "insert_seq", F.concat("memory_id", F.lit("-0")).alias("chunk_id"), F.lit(0).alias("chunk_index"), vector.alias("embedding")).write.parquet(f"{tmp_path}/chunks.parquet")
+    consolidate.cut(df)  # so that there is a folder for checkpoints
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    stored = lambda: sum(p.stat().st_size for p in folder.rglob("part-*"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved, kept = shuffled(spark), stored()
+        counts = catalogue.queries()["consolidation_stats"](spark, str(tmp_path))
+        assert counts.first().asDict() == {"migrated": 400, "clusters_created": 64, "clusters": 64, "compressed": 336, "forgotten": 0}
+        moved, kept = shuffled(spark) - moved, stored() - kept
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved < 1_000_000 and kept < 1_000_000  # the contents are 5 MB
