@@ -1,9 +1,9 @@
 """Most similar vectors for every vector, by robust-pruned directed graphs on overlapping shards.
 
 A coarse quantiser is fitted to a bounded sample; every vector belongs to the shards of its few nearest
-cells, so two vectors meet wherever they share one of them. Each shard gets a directed graph: points are
-inserted in doubling batches; a greedy search proposes each point's neighbours, relaxed distance pruning
-keeps the diverse ones, back edges are pruned the same way. A beam search from every point's own place in
+cells, so two vectors meet wherever they share one of them. Each shard gets a directed graph: the first
+points are compared with one another, the others are inserted in doubling batches; a greedy search proposes
+each point's neighbours, relaxed distance pruning keeps the diverse ones, back edges are pruned the same way. A beam search from every point's own place in
 the graph then finds its neighbours in the shard; the best over all shards remain.
 """
 
@@ -22,135 +22,172 @@ from recollary.session import cut
 DEGREE, BEAM, EXPAND, ALPHA = 16, 24, 4, 1.2
 # vectors a cell on average; cells at most; vectors that one task holds; sampled vectors a cell; cells fitted at once
 CELL, MAX_CELLS, MAX_SHARD, PER_CELL, TOP_CELLS = 256, 65_536, 16_384, 24, 2048
-BLOCK = 1024
+BLOCK, PAIRS = 1024, 4096
+# points with which a graph begins
+FIRST = 512
+# the key of no point, and the bits of a key below its distance
+NONE, LOW = np.int64(2**63 - 1), np.int64(0xFFFFFFFF)
 
 
-def similarities(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Dot products of each query with the vectors of its row of ids."""
-    return np.matmul(vectors[ids], queries[:, :, None])[:, :, 0]
+def blocks(n: int, size: int = BLOCK) -> Iterator[slice]:
+    return (slice(i, min(n, i + size)) for i in range(0, n, size))
 
 
-def beam_search(vectors: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int = BEAM, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and similarities, best first, of the beam in which each query's greedy search ends.
+def distances(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """1 - dot product of vector ids[i] and query rows[i], in parts that stay in the processor's cache."""
+    out = np.empty(len(ids), dtype=np.float32)
+    for part in blocks(len(ids), PAIRS):
+        np.einsum("ij,ij->i", vectors.take(ids[part], axis=0), queries.take(rows[part], axis=0), out=out[part])
+    return 1 - out
+
+
+def packed(far: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Keys that order as the distances do: the distance, the id and a free lowest bit in one integer."""
+    keys = np.maximum(far, 0).astype(np.float32).view(np.int32).astype(np.int64)
+    keys <<= 32
+    keys |= ids.astype(np.int64) << 1
+    return keys
+
+
+def unpacked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (-1 where there is none) and distances of keys."""
+    used = keys < NONE
+    return np.where(used, (keys & LOW) >> 1, -1), np.where(used, (keys >> 32).astype(np.int32).view(np.float32), np.float32(np.inf))
+
+
+def nearest_keys(vectors: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int = BEAM, expand: int = EXPAND) -> np.ndarray:
+    """The beam in which each query's greedy search ends, as keys in order, NONE where a place is unused.
 
     starts holds the points at which each query begins (one row a query, or one for all). edges holds -1
     where a point has fewer neighbours. In every round the best few points of each beam that have not been
-    expanded are, all queries in step. Unused places of a beam have id -1.
+    expanded (lowest bit 0) are, all queries in step; a query and a point are compared once.
     """
     n, b = len(vectors), len(queries)
-    rows = np.arange(b)[:, None]
-    starts = np.broadcast_to(starts, (b, starts.shape[-1]))
-    seen = np.zeros((b, n + 1), dtype=bool)
-    seen[:, n] = True  # where -1 points
-    seen[rows, starts] = True
-    first = similarities(vectors, starts, queries)
-    width = min(beam, starts.shape[1])
-    top = np.argpartition(-first, width - 1, axis=1)[:, :width]
-    ids = np.full((b, beam), -1, dtype=np.int64)
-    sims = np.full((b, beam), -2.0, dtype=np.float32)
-    done = np.ones((b, beam), dtype=bool)
-    ids[:, :width], sims[:, :width], done[:, :width] = np.take_along_axis(starts, top, 1), np.take_along_axis(first, top, 1), False
+    width = n + 1  # the last place is where -1 points
+    links = np.full((width, edges.shape[1]), n, dtype=np.int64)
+    links[:n] = np.where(edges < 0, n, edges)
+    seen = np.zeros(b * width, dtype=bool)
+    seen[n::width] = True
+    last_met = np.empty(b * width, dtype=np.int32)
+    keys = np.full((b, beam), NONE)
+    worst = np.full(b, NONE)
     live = np.arange(b)
-    while len(live):
-        open_sims = np.where(done[live], -3.0, sims[live])
-        pick = np.argpartition(-open_sims, expand - 1, axis=1)[:, :expand] if beam > expand else np.argsort(-open_sims, axis=1)
-        fresh = np.take_along_axis(open_sims, pick, 1) > -2.5
-        keep = fresh.any(axis=1)
-        live, pick, fresh = live[keep], pick[keep], fresh[keep]
-        if not len(live):
+    met = (live[:, None] * width + starts).ravel()  # query * width + point
+    while True:
+        if len(met):
+            count = np.arange(len(met), dtype=np.int32)
+            last_met[met] = count
+            met = met[last_met[met] == count]
+            seen[met] = True
+            row = met // width
+            point = met - row * width
+            key = packed(distances(vectors, point, queries, row), point)
+            better = np.flatnonzero(key < worst[row])
+            if len(better):
+                row, key = row[better], key[better]
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                held = np.diff(first, append=len(row))
+                some = row[first]
+                wide = np.full((len(some), beam + int(held.max())), NONE)
+                wide[:, :beam] = keys[some]
+                wide[np.repeat(np.arange(len(some)), held), beam + np.arange(len(row)) - np.repeat(first, held)] = key
+                wide.partition(beam - 1, axis=1)
+                keys[some], worst[some] = wide[:, :beam], wide[:, beam - 1]
+        mine = keys[live]
+        near = np.where(mine & 1, NONE, mine)
+        if beam > expand:
+            near.partition(expand - 1, axis=1)
+            near = near[:, :expand]
+        some = np.flatnonzero(near.min(axis=1) < NONE)
+        if not len(some):
             break
-        at = live[:, None]
-        source = np.where(fresh, ids[at, pick], -1)
-        done[at, pick] = True
-        found = np.where(source[:, :, None] >= 0, edges[source], -1).reshape(len(live), -1)
-        found[seen[at, found]] = -1
-        found.sort(axis=1)
-        found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
-        seen[at, found] = True
-        used = found >= 0
-        most = int(used.sum(axis=1).max(initial=0))
-        if not most:
-            continue
-        found = np.take_along_axis(found, np.argsort(~used, axis=1, kind="stable")[:, :most], 1)
-        near = similarities(vectors, found, queries[live])
-        near[found < 0] = -2.0
-        all_ids = np.concatenate((ids[live], found), axis=1)
-        all_sims = np.concatenate((sims[live], near), axis=1)
-        all_done = np.concatenate((done[live], found < 0), axis=1)
-        best = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-        ids[live] = np.take_along_axis(all_ids, best, 1)
-        sims[live] = np.take_along_axis(all_sims, best, 1)
-        done[live] = np.take_along_axis(all_done, best, 1)
-    order = np.argsort(-sims, axis=1, kind="stable")
-    return ids[rows, order], sims[rows, order]
+        live, mine, near = live[some], mine[some], near[some]
+        fresh = near < NONE
+        keys[live] = mine | (mine <= np.where(fresh, near, 0).max(axis=1)[:, None])
+        met = (links.take((near[fresh] & LOW) >> 1, axis=0) + (live[np.nonzero(fresh)[0]] * width)[:, None]).ravel()
+        met = met[~seen.take(met)]
+    keys.sort(axis=1)
+    return keys
 
 
-def robust_prune(vectors: np.ndarray, points: np.ndarray, pool: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """The diverse neighbours of each point among its pool (ids, -1 where unused): the nearest is kept, and
-    whatever is alpha times nearer to a kept one than to the point is dropped, until degree are kept."""
-    b, c = pool.shape
-    candidates = vectors[pool]
-    to_point = 1 - np.matmul(candidates, vectors[points][:, :, None])[:, :, 0]
-    between = 1 - np.matmul(candidates, candidates.transpose(0, 2, 1))
+def beam_search(vectors: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int = BEAM, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and similarities, best first, of the beam in which each query's greedy search ends. Unused places have id -1."""
+    ids, far = unpacked(nearest_keys(vectors, edges, starts, queries, beam, expand))
+    return ids, np.where(ids >= 0, 1 - far, np.float32(-2))
+
+
+def diverse(vectors: np.ndarray, keys: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """The diverse neighbours among each row of keys in order: the nearest is kept, and whatever is alpha
+    times nearer to a kept one than to the point is dropped, until degree are kept."""
+    pool, far = unpacked(keys)
+    candidates = vectors.take(np.maximum(pool, 0), axis=0)
     # squared distances of unit vectors: alpha applies to distances
-    factor = alpha * alpha
-    alive = (pool >= 0) & (pool != points[:, None])
-    kept = np.full((b, degree), -1, dtype=np.int64)
-    rows = np.arange(b)
-    for k in range(degree):
-        best = np.where(alive, to_point, np.inf).argmin(axis=1)
-        some = alive[rows, best]
-        if not some.any():
-            break
-        kept[some, k] = pool[rows, best][some]
-        alive &= between[rows, best] * factor > to_point
-        alive[rows, best] = False
+    drops = (1 - np.matmul(candidates, candidates.transpose(0, 2, 1))) * (alpha * alpha) <= far[:, None, :]
+    # all points in step: candidate, candidate, point
+    drops = np.ascontiguousarray(drops.transpose(1, 2, 0))
+    alive = np.ascontiguousarray((pool >= 0).T)
+    for j in range(len(alive) - 1):
+        alive[j + 1 :] &= ~(alive[j] & drops[j, j + 1 :])
+    place = np.cumsum(alive.T, axis=1) - 1
+    row, column = np.nonzero(alive.T & (place < degree))
+    kept = np.full((len(keys), degree), NONE)
+    kept[row, place[row, column]] = keys[row, column]
     return kept
 
 
-def blocks(n: int, size: int = BLOCK) -> Iterator[slice]:
-    return (slice(i, min(n, i + size)) for i in range(0, n, size))
+def robust_prune(vectors: np.ndarray, points: np.ndarray, pool: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """Ids of the diverse neighbours of each point among its pool (ids, -1 where unused)."""
+    row, column = np.nonzero((pool >= 0) & (pool != points[:, None]))
+    keys = np.full(pool.shape, NONE)
+    keys[row, column] = packed(distances(vectors, pool[row, column], vectors, points[row]), pool[row, column])
+    keys.sort(axis=1)
+    return unpacked(diverse(vectors, keys, degree, alpha))[0]
 
 
 def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 5) -> np.ndarray:
     """Edges [n, degree] of the graph."""
     n = len(vectors)
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(n)
-    edges = np.full((n, degree), -1, dtype=np.int64)
-    start = order[: min(n, degree + 1)]
-    for p in start:
-        others = start[start != p]
-        edges[p, : len(others)] = others
+    order = np.random.default_rng(seed).permutation(n)
+    links = np.full((n, degree), NONE)  # keys, lowest bit 1
     entries = order[: min(n, 16)]
-    at = len(start)
+    at = 0
     while at < n:
-        batch = order[at : min(n, 2 * at)]
-        # searched before any of the batch is linked; in blocks, so that their pools stay small in memory
-        pools = [beam_search(vectors, edges, entries, vectors[batch[part]], beam)[0] for part in blocks(len(batch))]
+        if at == 0:  # the first points, few, are compared with one another
+            batch = order[:FIRST]
+            keys = packed(1 - vectors[batch] @ vectors[batch].T, np.broadcast_to(batch, (len(batch), len(batch))))
+            np.fill_diagonal(keys, NONE)
+            if len(batch) > beam:
+                keys = np.partition(keys, beam - 1, axis=1)[:, :beam]
+            keys.sort(axis=1)
+            pools = [keys[part] | 1 for part in blocks(len(batch))]
+        else:
+            batch = order[at : min(n, 2 * at)]
+            edges = unpacked(links)[0]
+            # searched before any of the batch is linked; in blocks, so that their pools stay small in memory
+            pools = [nearest_keys(vectors, edges, entries, vectors[batch[part]], beam) | 1 for part in blocks(len(batch))]
         for part, pool in zip(blocks(len(batch)), pools):
-            edges[batch[part]] = robust_prune(vectors, batch[part], pool, degree, alpha)
+            links[batch[part]] = diverse(vectors, pool, degree, alpha)
         # back edges: every kept neighbour gets the point as a candidate beside the neighbours it has
-        source = np.repeat(batch, degree)
-        target = edges[batch].ravel()
-        source, target = source[target >= 0], target[target >= 0]
-        by = np.argsort(target, kind="stable")
-        source, target = source[by], target[by]
+        row, column = np.nonzero(links[batch] < NONE)
+        key = links[batch[row], column]
+        target, back = (key & LOW) >> 1, (key & ~LOW) | batch[row] << 1 | 1
+        by = np.lexsort((back, target))
+        target, back = target[by], back[by]
         heads, firsts, counts = np.unique(target, return_index=True, return_counts=True)
         # those of like numbers of new edges together; of a point much linked to the nearest are candidates
         rank = np.argsort(counts, kind="stable")
         for part in blocks(len(rank)):
             some = rank[part]
-            wide = np.full((len(some), int(counts[some].max())), -1, dtype=np.int64)
-            for row, i in enumerate(some):
-                wide[row, : counts[i]] = source[firsts[i] : firsts[i] + counts[i]]
-            if wide.shape[1] > 2 * degree:
-                near = similarities(vectors, wide, vectors[heads[some]])
-                near[wide < 0] = -2.0
-                wide = np.take_along_axis(wide, np.argpartition(-near, 2 * degree - 1, axis=1)[:, : 2 * degree], 1)
-            edges[heads[some]] = robust_prune(vectors, heads[some], np.concatenate((edges[heads[some]], wide), axis=1), degree, alpha)
+            held = np.minimum(counts[some], 2 * degree)
+            which = np.repeat(np.arange(len(some)), held)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(held) - held, held)
+            wide = np.full((len(some), degree + int(held.max())), NONE)
+            wide[:, :degree] = links[heads[some]]
+            wide[which, degree + nth] = back[firsts[some][which] + nth]
+            wide.sort(axis=1)
+            links[heads[some]] = diverse(vectors, wide, degree, alpha)
         at += len(batch)
-    return edges
+    return unpacked(links)[0]
 
 
 def neighbours(vectors: np.ndarray, k: int, degree: int = DEGREE, beam: int = BEAM, least: float = -2.0) -> tuple[np.ndarray, np.ndarray]:
