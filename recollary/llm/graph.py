@@ -218,6 +218,17 @@ def fit_cells(sample: np.ndarray, n_cells: int, rounds: int = 6, seed: int = 1)
     return centres
 
 
+def nearest_cells(x: np.ndarray, centres: np.ndarray, number: int) -> np.ndarray:
+    """The cells [len(x), number] of the nearest centres: a maximum at a time, cheaper than a partition for a few."""
+    near = np.empty((len(x), number), dtype=np.int32)
+    for part in blocks(len(x)):
+        sims = x[part] @ centres.T
+        for p in range(number):
+            near[part, p] = sims.argmax(axis=1)
+            sims[np.arange(len(sims)), near[part, p]] = -np.inf
+    return near
+
+
 def flat(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     """A list column as a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -303,9 +314,9 @@ def most_similar(
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = flat(batch["unit"], size)
-            near = np.concatenate([np.argpartition(-(x[part] @ centres.T), shards - 1, axis=1)[:, :shards] for part in blocks(len(x))]) if len(x) else np.zeros((0, shards))
+            near = nearest_cells(x, centres, shards)
             for p in range(shards):
-                yield pa.RecordBatch.from_arrays([pa.array(near[:, p].astype(np.int32)), batch["print"], batch["unit"]], ["cell", "print", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(near[:, p]), batch["print"], batch["unit"]], ["cell", "print", "unit"])
 
     routed = distinct.mapInArrow(route, "cell int, print binary, unit array<float>")
     large = {}

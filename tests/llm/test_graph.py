@@ -138,3 +138,12 @@ def test_a_row_of_points_ends_in_its_own_neighbours():
             kept = row[row >= 0]
             assert len(set(kept.tolist())) == len(kept)
             assert np.allclose(x[kept] @ v, sim[: len(kept)], atol=1e-5)
+
+
+def test_nearest_cells():
+    rng = np.random.default_rng(3)
+    x, centres = rng.normal(size=(1500, 8)).astype(np.float32), rng.normal(size=(40, 8)).astype(np.float32)
+    for number in (1, 3, 40):
+        want = np.argsort(-(x @ centres.T), axis=1)[:, :number]
+        assert (graph.nearest_cells(x, centres, number) == want).all()
+    assert graph.nearest_cells(x[:0], centres, 3).shape == (0, 3)
